@@ -27,8 +27,8 @@ MEASURES = ("chars", "utf8", "utf16", "html", "html_ascii", "json", "json_ascii"
 # Words that close a text, openings of a closing line, and what stands for a part left out.
 CLOSING = frozenset("fin finis ende end the end fine das ende la fin 完 終 了 (fin) [end] (end) [fin]".split()) | {"the end", "das ende", "la fin", "el fin"}
 GREETING = re.compile(r"(?:Yours|Sincerely|Regards|Best|Love|Kind regards|Cordialement|Gruß|Grüße|Atentamente|Saludos)\b[^.!?]*")
-SIGNED = re.compile(r"(?:--?|—|–)\s*[^\W\d_].*")
 NAME = re.compile(r"[A-ZÀ-Þ][^\W\d_]*(?:\s+[A-ZÀ-Þ][^\W\d_]*){1,2}")
+SIGNED = re.compile(r"(?:--?|—|–)\s*" + NAME.pattern)
 ADDRESS = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\w+")
 LEFT_OUT = re.compile(r"\s*(?:…|\.{3,}|\[(?:…|\.{3})\]|\((?:…|\.{3})\))$")
 BROKEN = re.compile(r"(?:&#?\w{0,8}|<[^<>\s]{0,20}|\\u?[0-9a-fA-F]{0,4}|�+)$")
@@ -94,7 +94,7 @@ def ending(form: str, lexicon: Lexicon | None = None) -> int:
     one = "\n" not in whole and "\r" not in whole
     if one and (whole.lower() in CLOSING or ADDRESS.fullmatch(whole)):
         return CLOSED
-    if one and (GREETING.fullmatch(whole) or (SIGNED.fullmatch(whole) and not whole.endswith(tuple(TERM)))):
+    if one and (GREETING.fullmatch(whole) or SIGNED.fullmatch(whole)):
         return CLOSED
     if one and NAME.fullmatch(whole):
         return SOFT
