@@ -1 +1 @@
-"""Functions of the engine."""
+"""Expressions on columns."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import skew_queries
+from . import core_queries, skew_queries
 
-MODULES = (skew_queries,)
+MODULES = (core_queries, skew_queries)
 
 
 def queries() -> dict:

@@ -1 +1 @@
-"""Sources of the engine."""
+"""Files in and out: corpora, dictionaries, signature datasets."""
