@@ -83,7 +83,9 @@ class Document:
         return self._words[word] > self._stopped[word]
 
     def never_last(self, word: str) -> bool:
-        return any(w in BEFORE or w in self.lexicon.before for w in self._cases(word))
+        if not any(w in BEFORE or w in self.lexicon.before for w in self._cases(word)):
+            return False
+        return not (len(word) > 1 and word.isalpha() and word.islower() and self.plain(word))
 
     def known(self, word: str) -> bool:
         return any(w in LAST or w in self.lexicon.last for w in self._cases(word)) or self.never_last(word)

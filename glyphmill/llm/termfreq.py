@@ -91,7 +91,7 @@ def value_counts(tokens: DataFrame, key: str, record: str, position: str, column
     long = rows.where("c > 0").select(F.col("r").alias("r2")).distinct()
     rows = rows.join(long, F.col("r") == F.col("r2"), "left").withColumn("cut", F.col("r2").isNotNull()).drop("r2")
     if shift:  # a piece also reads what its last n-grams need of the next one
-        back = F.when((F.col("c") > 0) & (F.col("p") % piece < shift), F.array(F.struct(F.col("c").alias("c"), F.lit(True).alias("own")), F.struct((F.col("c") - 1).alias("c"), F.lit(False).alias("own"))))
+        back = F.when(F.col("r").isNotNull() & (F.col("c") > 0) & (F.col("p") % piece < shift), F.array(F.struct(F.col("c").alias("c"), F.lit(True).alias("own")), F.struct((F.col("c") - 1).alias("c"), F.lit(False).alias("own"))))
         rows = rows.withColumn("e", F.explode(F.coalesce(back, F.array(F.struct(F.col("c").alias("c"), F.lit(True).alias("own")))))).select("k", "r", "p", "x", "cut", "e.c", "e.own")
     else:
         rows = rows.withColumn("own", F.lit(True))
@@ -216,7 +216,7 @@ def marked_values(tokens: DataFrame, key: str, record: str, position: str, colum
     Shares are of the distinct records of the table, whether or not they hold a value. See value_counts().
     """
     counts = value_counts(tokens, key, record, position, columns, version, 1)
-    total = tokens.where(F.col(record).isNotNull()).agg(F.countDistinct(record).alias("total"))
+    total = tokens.where(F.col(record).isNotNull()).agg(F.countDistinct(record)).scalar()
     value = [F.col("gram")[0][c].alias(c) for c in columns]
     one = counts.where("n = 1").select(*value, "occurrences", "records")
-    return one.join(F.broadcast(total)).withColumn("mark", mark(F.col("records"), F.col("total"), rare, common)).drop("total")
+    return one.withColumn("mark", mark(F.col("records"), total, rare, common))
