@@ -93,27 +93,37 @@ def prune_threshold(values: Column, significance: float = ELBOW, factor: float =
     return F.coalesce(F.get(values, prune_count(values, significance, factor)), _d(0))
 
 
-def grouped_prune_counts(rows: DataFrame, group: list[str], rank: str, value: str, significance: float = ELBOW, factor: float = MEDIAN_FACTOR) -> DataFrame:
-    """Rows (group, k): the prune count of each group, from ranked rows.
+def grouped_cuts(rows: DataFrame, group: list[str], value: str, significance: float = ELBOW, factor: float = MEDIAN_FACTOR) -> DataFrame:
+    """Rows (group, k, at, need, run): the prune count k of each group, the value at which the cut falls, and how many
+    of the run of equal values there are kept.
 
-    Only sums, ranks and extremes are gathered. Null values are not allowed; an empty table gives no rows.
+    The rows are folded into one count for each distinct value; only those counts are put in order. Within a run of
+    equal values the elbow can only lie at its first place, and the sum grows evenly, so nothing is lost. Null values
+    are not allowed; an empty table gives no rows.
     """
-    w = Window.partitionBy(*group)
-    v = F.col(value).cast("double")
-    r = F.col(rank)
-    running = Window.partitionBy(*group).orderBy(rank).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = rows.select(*group, r.alias("__r"), v.alias("__v"), F.sum(v).over(running).alias("__cum"), F.count(F.lit(1)).over(w).alias("__n"), F.max(v).over(w).alias("__first"), F.min(v).over(w).alias("__last"), F.sum(v).over(w).alias("__total"))
-    i, n, first, last = F.col("__r") - 1, F.col("__n"), F.col("__first"), F.col("__last")
-    inner = (i > 0) & (i < n - 1)
-    depth = F.when(inner, first + (i / F.greatest(n - 1, F.lit(1))) * (last - first) - F.col("__v"))
+    v, c = F.col("__v"), F.col("__c")
+    runs = rows.groupBy(*group, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    every = Window.partitionBy(*group)
+    down = every.orderBy(F.desc("__v"))
+    x = runs.select(
+        *group, "__v", "__c", (F.sum("__c").over(down) - c).alias("before"), (F.sum(v * c).over(down) - v * c).alias("cum"),
+        F.sum("__c").over(every).alias("n"), F.sum(v * c).over(every).alias("total"), F.max("__v").over(every).alias("first"), F.min("__v").over(every).alias("last"),
+    )
+    n, before = F.col("n"), F.col("before")
+    i = F.when(before > 0, before).when(c > 1, F.lit(1))
+    depth = F.when(i < n - 1, F.col("first") + (i / F.greatest(n - 1, F.lit(1))) * (F.col("last") - F.col("first")) - v)
+    holds = lambda k: (before <= k) & (k < before + c)
     half = F.floor(n / 2)
-    middle = F.when((n % 2 == 1) & (i == half), F.col("__v")).when((n % 2 == 0) & ((i == half - 1) | (i == half)), 0.5 * F.col("__v"))
+    middle = F.when(n % 2 == 1, F.when(holds(half), v).otherwise(0.0)).otherwise(F.when(holds(half - 1), 0.5 * v).otherwise(0.0) + F.when(holds(half), 0.5 * v).otherwise(0.0))
+    need = 0.5 * F.col("total") - F.col("cum")
+    reaches = F.when((v > 0) & (need <= v * c), before + F.greatest(F.ceil(need / F.when(v > 0, v)), F.lit(1)))
     agg = x.groupBy(*group).agg(
-        F.first("__n").alias("n"), F.first("__first").alias("first"), F.first("__last").alias("last"), F.first("__total").alias("total"),
-        F.max(F.struct(depth.alias("d"), (-i).alias("i"))).alias("deep"), F.sum(middle).alias("median"),
-        F.min(F.when(F.col("__cum") >= 0.5 * F.col("__total"), F.col("__r"))).alias("mm"),
+        F.first("n").alias("n"), F.first("total").alias("total"), F.first("first").alias("first"), F.first("last").alias("last"),
+        F.max(F.when(depth.isNotNull(), F.struct(depth.alias("d"), (-i).alias("i")))).alias("deep"), F.sum(middle).alias("median"), F.min(reaches).alias("mm"),
     )
     deep = F.col("deep.d")
-    bent = (F.col("n") >= 3) & ((F.col("first") - F.col("last")) > FLAT) & (deep > 0) & (deep >= significance * F.col("median"))
-    scaled = F.when(~(F.col("total") > 0), F.col("n")).otherwise(F.greatest(F.least(F.ceil(factor * F.coalesce("mm", "n")), F.col("n")), F.lit(1)))
-    return agg.select(*group, F.when(F.coalesce(bent, F.lit(False)), -F.col("deep.i")).otherwise(scaled).cast("long").alias("k"))
+    bent = (n >= 3) & ((F.col("first") - F.col("last")) > FLAT) & (deep > 0) & (deep >= significance * F.col("median"))
+    scaled = F.when(~(F.col("total") > 0), n).otherwise(F.greatest(F.least(F.ceil(factor * F.coalesce("mm", "n")), n), F.lit(1)))
+    k = agg.select(*group, F.when(F.coalesce(bent, F.lit(False)), -F.col("deep.i")).otherwise(scaled).cast("long").alias("k"))
+    at = x.select(*group, "__v", "__c", "before").join(k, group).where((before < F.col("k")) & (F.col("k") <= before + c))
+    return at.select(*group, "k", v.alias("at"), (F.col("k") - before).alias("need"), c.alias("run"))

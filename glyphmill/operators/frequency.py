@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import threshold
+from .ordering import placed
 from .tokenize import DELIMITER, WORD
 
 
@@ -24,22 +25,24 @@ def totals(tokens: DataFrame) -> DataFrame:
     )
 
 
-def ranked(freq: DataFrame, group: list[str] | None = None, value: str = "value", weight: str = "freq") -> DataFrame:
-    """The rows with their rank from 1 by weight descending, then value ascending.
+def ranked(freq: DataFrame, group: list[str], value: str = "value", weight: str = "freq") -> DataFrame:
+    """The rows with their rank from 1 in their group, by weight descending, then value ascending.
 
-    Equal weights share a run; ranks inside a run come from a window over that run only where the values are few. For
-    one group over a whole vocabulary the number of values above each weight is summed over the distinct weights, so
-    the global order needs no single task.
+    No group and no run of equal weights meets in one task.
     """
-    group = group or []
-    by_weight = freq.groupBy(*group, weight).agg(F.count(F.lit(1)).alias("__m"))
-    above = F.sum("__m").over(Window.partitionBy(*group).orderBy(F.desc(weight))) - F.col("__m")
-    by_weight = by_weight.select(*group, weight, above.alias("__above"))
-    inside = F.row_number().over(Window.partitionBy(*group, weight).orderBy(value))
-    return freq.withColumn("__in", inside).join(by_weight, [*group, weight]).withColumn("rank", F.col("__above") + F.col("__in")).drop("__in", "__above")
-
-
-def pruned(ranked_rows: DataFrame, group: list[str], weight: str = "freq") -> DataFrame:
-    """The rows that the adaptive cut of their group keeps."""
-    k = threshold.grouped_prune_counts(ranked_rows, group, "rank", weight)
-    return ranked_rows.join(k, group).where("rank <= k").drop("k")
+    got = placed(freq, group, [F.desc(weight), F.asc(value)], "rank")
+    return got.withColumn("rank", F.col("rank") + 1)
+
+
+def pruned(rows: DataFrame, group: list[str], value: str = "value", weight: str = "freq") -> DataFrame:
+    """The rows that the adaptive cut of their group keeps: the heaviest, of equal ones the least values.
+
+    Whole runs of equal weights are kept or left by comparison; only a run that the cut divides is put in order.
+    """
+    cut = threshold.grouped_cuts(rows, group, weight)
+    met = rows.join(cut, group)
+    w = F.col(weight).cast("double")
+    whole = met.where((w > F.col("at")) | ((w == F.col("at")) & (F.col("need") == F.col("run"))))
+    part = met.where((w == F.col("at")) & (F.col("need") < F.col("run")))
+    part = part.withColumn("__r", F.row_number().over(Window.partitionBy(*group).orderBy(value))).where("__r <= need").drop("__r")
+    return whole.unionByName(part).drop("k", "at", "need", "run")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sparse
+from .ordering import placed
 
 
 def encode(words: DataFrame, scope: list[str], pos: str = "pos", bag: str = "bag", radius: int | None = None) -> DataFrame:
@@ -41,10 +42,10 @@ def next_label(label: str, scope: list[str], pos: str = "pos") -> Column:
 def vocabulary(words: DataFrame, order: list[str], word: str = "value") -> DataFrame:
     """Rows (word_id, word): ids dense from 0 in the order in which words are first seen.
 
-    The ids need one global order; only the distinct words, each with its first place, are sorted for it.
+    Only the distinct words, each with its first place, are put in order, and all tasks share in that.
     """
     first = words.where(F.col(word).isNotNull()).groupBy(F.col(word).alias("word")).agg(F.min(F.struct(*order)).alias("__o"))
-    return first.select((F.row_number().over(Window.orderBy("__o", "word")) - 1).cast("int").alias("word_id"), "word")
+    return placed(first, [], [F.asc("__o"), F.asc("word")]).select(F.col("place").cast("int").alias("word_id"), "word")
 
 
 def band_union(left: Column, own: Column) -> Column:

@@ -51,10 +51,10 @@ def peel(words: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     runs = decompose.free_runs(words, parts).where(F.col("end") - F.col("start") >= SHORTEST)
     runs = words.join(runs, "word").withColumn("piece", F.substring(F.col("word"), F.col("start") + 1, F.col("end") - F.col("start")))
     runs = stored(runs.select("word", "freq", "piece", "touches_start", "touches_end"), "runs")
-    kept = frequency.pruned(frequency.ranked(_bins(runs), ["kind", "len"]), ["kind", "len"])
+    kept = frequency.pruned(stored(_bins(runs), "bins"), ["kind", "len"])
     new = kept.join(parts.select("kind", "value"), ["kind", "value"], "left_anti")
     turn = F.when(F.col("kind") == START, 0).when(F.col("kind") == MID, 1).otherwise(2)
-    return runs.select("word", "freq").distinct(), new.orderBy(F.desc("len"), turn, "rank").select("kind", "value")
+    return runs.select("word", "freq").distinct(), new.orderBy(F.desc("len"), turn, F.desc("freq"), "value").select("kind", "value")
 
 
 def train(word_freq: DataFrame, delimiter_freq: DataFrame, longest_whole: int = 16, letters: bool = True, most_passes: int = 20, most_parts: int = 1_000_000) -> Trained:
@@ -67,7 +67,7 @@ def train(word_freq: DataFrame, delimiter_freq: DataFrame, longest_whole: int =
     spark = word_freq.sparkSession
     words = stored(word_freq.where("value <> ''").select(F.col("value").alias("word"), F.col("freq").cast("long")), "words")
     some = words.where(F.length("word").between(2, longest_whole)).select(F.lit(WHOLE).alias("kind"), F.col("word").alias("value"), "freq")
-    wholes = frequency.pruned(frequency.ranked(some, ["kind"]), ["kind"]).orderBy("rank")
+    wholes = frequency.pruned(some, ["kind"]).orderBy(F.desc("freq"), "value")
     seed: list[Part] = [(WHOLE, r["value"]) for r in wholes.select("value").limit(most_parts).collect()]
     marks = [(DELIMITER, r["value"]) for r in delimiter_freq.where("value <> ''").orderBy(F.desc("freq"), "value").select("value").limit(most_parts).collect()]
     atoms = [p for p in dictionary.atoms() if p[0] != DELIMITER] if letters else []

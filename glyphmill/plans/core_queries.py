@@ -97,7 +97,7 @@ c as (select grp, n, total, case when n >= 3 and first_v - last_v > 1e-12 and de
 select x.grp as tok_type, x.value as value, x.v::bigint as freq from x join c on x.grp is not distinct from c.grp where x.rk <= case when c.elbow < c.n then c.elbow else c.scaled end"""
 )
 def pruned_values(s: SparkSession, d: str) -> DataFrame:
-    return frequency.pruned(frequency.ranked(_token_freq(s, d), ["tok_type"]), ["tok_type"]).select("tok_type", "value", "freq")
+    return frequency.pruned(_token_freq(s, d), ["tok_type"]).select("tok_type", "value", "freq")
 
 
 @query(

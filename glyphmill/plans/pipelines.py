@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.bytestr import from_byte_string, to_byte_string
 from ..functions.intervals import extract
 from ..operators import decompose, frequency, sections, segment, signature, tokenize, train
+from ..session import stored
 
 SENTENCE, PARAGRAPH = 0, 1
 
@@ -26,7 +27,7 @@ def decomposed(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", text
 def top_words(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The frequent words that the adaptive cut keeps: (rank, word, freq)."""
     freq = frequency.frequencies(tokenize.tokenize(docs, key, text), tokenize.WORD).withColumn("kind", F.lit(0))
-    kept = frequency.pruned(frequency.ranked(freq, ["kind"]), ["kind"])
+    kept = frequency.ranked(frequency.pruned(stored(freq, "frequencies"), ["kind"]), ["kind"])
     return kept.select("rank", from_byte_string(F.col("value")).alias("word"), "freq")
 
 
@@ -61,7 +62,7 @@ def signatures(docs: DataFrame, dictionary: DataFrame, scale: str = "both", radi
     Each distinct word is decomposed once. Words are numbered by where they are first seen: by document, sentences
     before paragraphs.
     """
-    words = scope_words(docs, scale, key, text)
+    words = stored(scope_words(docs, scale, key, text), "words")
     vocabulary = signature.vocabulary(words, [key, "scale", "scope_idx", "word_pos"])
     bags = decompose.decompose(words.select(F.col("value").alias("word")), dictionary).select(F.col("word").alias("value"), "bag")
     scope = [key, "scale", "scope_idx"]

@@ -100,7 +100,7 @@ def test_grouped_cuts_agree(spark):
     rng = random.Random(3)
     groups = {g: sorted((rng.choice((1, 1, 2, 3, 5, 50, 99)) for _ in range(rng.randint(1, 12))), reverse=True) for g in range(60)}
     rows = spark.createDataFrame([(g, i + 1, float(x)) for g, v in groups.items() for i, x in enumerate(v)], "g int, r int, v double")
-    grouped = {r["g"]: r["k"] for r in A.grouped_prune_counts(rows, ["g"], "r", "v").collect()}
+    grouped = {r["g"]: r["k"] for r in A.grouped_cuts(rows, ["g"], "v").collect()}
     arrays = {r["g"]: r["k"] for r in rows.groupBy("g").agg(F.sort_array(F.collect_list("v"), False).alias("a")).select("g", A.prune_count(F.col("a")).alias("k")).collect()}
     assert grouped == arrays == {g: cut_spec(v) for g, v in groups.items()}
 

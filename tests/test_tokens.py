@@ -47,6 +47,21 @@ def test_tokens_of_nothing(spark):
 def test_ranks(spark):
     df = spark.createDataFrame([("b", 2), ("a", 2), ("c", 9), ("d", 1)], "value string, freq long").withColumn("g", F.lit(0))
     assert [r["value"] for r in frequency.ranked(df, ["g"]).orderBy("rank").collect()] == ["c", "a", "b", "d"]
+    rng = random.Random(4)
+    rows = [(rng.choice("xyz"), f"v{k}", rng.randint(1, 5)) for k in range(400)]
+    got = {(r["g"], r["value"]): r["rank"] for r in frequency.ranked(spark.createDataFrame(rows, "g string, value string, freq int"), ["g"]).collect()}
+    want = {}
+    for g in "xyz":
+        want |= {(g, v): i + 1 for i, (_, v) in enumerate(sorted((-f, v) for h, v, f in rows if h == g))}
+    assert got == want
+
+
+def test_the_cut_divides_a_run(spark):
+    df = spark.createDataFrame([(0, v, 1) for v in "cabd"] + [(1, v, f) for v, f in zip("abcdefgh", (9, 9, 1, 1, 1, 1, 1, 1), strict=True)], "g int, value string, freq int")
+    got = sorted((r["g"], r["value"]) for r in frequency.pruned(df, ["g"]).collect())
+    assert got == [(0, "a"), (0, "b"), (0, "c"), (0, "d"), (1, "a"), (1, "b")]
+    even = spark.createDataFrame([(0, v, 1) for v in "hgfedcba"], "g int, value string, freq int").withColumn("freq", F.when(F.col("value") < "c", 2).otherwise(1))
+    assert frequency.pruned(even, ["g"]).count() == 2
 
 
 def test_dictionary(spark):
