@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textform import code_points, form_points
+from .textform import code_points, form_points, slices
 
 # Abbreviations before a name, a number or an example, which do not end a sentence.
 BEFORE = frozenset(
@@ -367,13 +367,14 @@ def units(text: str, lexicon: Lexicon | None = None) -> list[tuple[int, int, str
 
 def forms_of(texts: pa.Array) -> Iterator[tuple[int, str, np.ndarray, int]]:
     """Row, consistent form, place of each of its characters in the text, length of the text; nulls are left out."""
-    cps, starts = code_points(texts)
-    form, at, src = form_points(cps, starts)
-    whole = form.astype("<u4").tobytes().decode("utf-32-le", "replace")
-    null = np.asarray(texts.is_null())
-    for k in range(len(texts)):
-        if not null[k]:
-            yield k, whole[at[k] : at[k + 1]], src[at[k] : at[k + 1]] - starts[k], int(starts[k + 1] - starts[k])
+    for first, some in slices(texts):
+        cps, starts = code_points(some)
+        form, at, src = form_points(cps, starts)
+        whole = form.astype("<u4").tobytes().decode("utf-32-le", "replace")
+        null = np.asarray(some.is_null())
+        for k in range(len(some)):
+            if not null[k]:
+                yield first + k, whole[at[k] : at[k + 1]], src[at[k] : at[k + 1]] - starts[k], int(starts[k + 1] - starts[k])
 
 
 def text_units(raw: str, form: str, src: np.ndarray, size: int, lexicon: Lexicon | None = None) -> list[tuple[int, int]]:

@@ -15,9 +15,11 @@ from __future__ import annotations
 import functools
 import sys
 import unicodedata as ud
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,6 +140,18 @@ def code_points(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32), count[offsets - offsets[0]]
 
 
+def slices(array: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """The array in parts of at most so many bytes, or of one row, each with the row it begins at."""
+    size = pc.fill_null(pc.binary_length(array), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(array):
+        base = ends[at - 1] if at else 0
+        z = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
+        yield at, array.slice(at, z - at)
+        at = z
+
+
 def to_arrow(cps: np.ndarray, starts: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
     """The strings of code points as an Arrow array; null: a mask of rows that are null."""
     c = cps.astype(np.uint32, copy=False)
@@ -239,10 +253,12 @@ def form_points(cps: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def form_array(array: pa.Array) -> pa.Array:
     """The form of every string; null stays null."""
-    null = np.asarray(array.is_null())
-    cps, starts = code_points(array)
-    cps, starts, _ = form_points(cps, starts)
-    return to_arrow(cps, starts, null)
+    parts = []
+    for _, some in slices(array):
+        null = np.asarray(some.is_null())
+        cps, starts, _ = form_points(*code_points(some))
+        parts.append(to_arrow(cps, starts, null))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def form_text(text: str) -> str:

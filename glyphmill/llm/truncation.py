@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..session import stored
 from .mixing import source_name
 from .sentences import DOTTED, TERM, Document, Lexicon, blocks, forms_of, lexicon_of, split_block, word_stats
-from .textform import code_points
+from .textform import code_points, slices
 
 MEASURES = ("chars", "utf8", "utf16", "html", "html_ascii", "json", "json_ascii", "chars_crlf", "utf8_crlf", "html_crlf", "words")
 # Words that close a text, openings of a closing line, and what stands for a part left out.
@@ -134,7 +134,7 @@ def profiles(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(3)
-            size = lengths(*code_points(texts))
+            size = np.hstack([lengths(*code_points(some)) for _, some in slices(texts)] or [np.zeros((len(MEASURES), 0), np.int64)])
             state = np.zeros(len(texts), np.int8)
             for k, form, _, _ in forms_of(texts):
                 state[k] = ending(form, shared.value)
