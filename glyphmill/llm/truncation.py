@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from .mixing import source_name
-from .sentences import DOTTED, TERM, Document, Lexicon, blocks, forms_of, lexicon_of, split_block, word_stats
+from .sentences import DOTTED, ORDINAL_BEFORE, TERM, Document, Lexicon, blocks, forms_of, lexicon_of, split_block, word_stats
 from .textform import code_points, slices
 
 MEASURES = ("chars", "utf8", "utf16", "html", "html_ascii", "json", "json_ascii", "chars_crlf", "utf8_crlf", "html_crlf", "words")
@@ -113,15 +113,20 @@ def ending(form: str, lexicon: Lexicon | None = None) -> int:
         state = CLOSED
         if bare[-1] == "." and rest[-1] == ".":
             tok = re.split(r"[\s\"“”„«»()\[\]]", bare[:-1])[-1]
+            words = unit.split()
             if doc.never_last(tok) or (len(tok) == 1 and tok.isalpha()) or (DOTTED.fullmatch(tok) and tok.islower() and not doc.known(tok)):
                 state = OPEN
+            elif tok.endswith(".") or (tok.isdigit() and len(tok) < 4 and len(words) == 2 and words[0].lower() in ORDINAL_BEFORE):
+                state = OPEN  # two of three dots, or a day without its month
+            elif len(words) < 4 or "@" in tok or "://" in tok:
+                state = SOFT
+        elif rest[-1] in CLOSERS and unit[0] in "\"“„«「『":
+            state = SOFT  # a quotation whose speaker is still to come
     elif not bare and rest:
         state = CLOSED
     elif bare and "฀" <= bare[-1] <= "๿":
         return SOFT
-    if cut:
-        return LEFT if state == OPEN or not rest.rstrip().endswith(tuple(TERM)) else CLOSED
-    return state
+    return LEFT if cut and state != CLOSED else state
 
 
 def profiles(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lexicon: Lexicon | None = None) -> DataFrame:

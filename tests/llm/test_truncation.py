@@ -27,9 +27,10 @@ def test_lengths():
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("He ran. She hi", T.OPEN), ("He ran. She hid.", T.CLOSED), ("He ran. Dr.", T.OPEN), ('He ran. She said: "It is.', T.OPEN), ("He ran. She hi…", T.LEFT), ("He ran. And so on...", T.LEFT), ("He ran. …", T.LEFT),
+        ("He ran. She hi", T.OPEN), ("He ran. She hid in it.", T.CLOSED), ("He ran. Dr.", T.OPEN), ('He ran. She said: "It is.', T.OPEN), ("He ran. She hi…", T.LEFT), ("He ran. And so on...", T.LEFT), ("He ran. …", T.LEFT),
         ("He ran.\n\nYours, Al Bo", T.CLOSED), ("He ran.\n\n-- Al Bo", T.CLOSED), ("He ran.\n\nAl Bo", T.SOFT), ("He ran.\n\n(fin)", T.CLOSED), ("He ran.\n\nThe End", T.CLOSED), ("He ran.\n\n# Next", T.CLOSED), ("He ran.\n\n- one\n- tw", T.CLOSED),
-        ("He ran.\n\nhttps://a.example/b", T.CLOSED), ("He &am", T.OPEN), ("He ran. �", T.OPEN), ("กาขา คาง", T.SOFT), ("他走了。他", T.OPEN), ("他说：“好。”", T.CLOSED), ("", T.CLOSED), (" \n", T.CLOSED), ("Pots, etc.", T.CLOSED), ("—Ven —dijo. Véase https://a.e", T.OPEN),
+        ("He ran.\n\nhttps://a.example/b", T.CLOSED), ("He &am", T.OPEN), ("He ran. �", T.OPEN), ("กาขา คาง", T.SOFT), ("他走了。他", T.OPEN), ("他说：“好。”", T.CLOSED), ("", T.CLOSED), (" \n", T.CLOSED), ("Pots, pans, jars, etc.", T.CLOSED), ("—Ven —dijo. Véase https://a.e", T.OPEN),
+        ("He ran. Am 93.", T.OPEN), ("He ran and hid..", T.OPEN), ("He ran. By 4 p.m.", T.SOFT), ("He ran. It is kept at https://a.", T.SOFT), ("He ran. “Why run?”", T.SOFT), ("He ran. He said: “It is.”…", T.CLOSED), ("He ran. See ab.…", T.LEFT),
     ],
 )
 def test_endings(text, want):
