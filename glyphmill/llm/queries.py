@@ -26,6 +26,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return setjoin.similar_pairs(table(spark, d, "signatures"), **SETS).toDF("rec_id_a", "rec_id_b")
 
 
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    """Each record's class of equal sets, and its number of pairs."""
+    return setjoin.linked_records(table(spark, d, "signatures"), **SETS)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return termfreq.marked_values(table(spark, d, "tokens"), **TOKENS).where("mark is not null").select("tok_type", "tok_value", "mark")
 
@@ -91,7 +96,7 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (p1_found, p2_found, p3_found, p3_values, p3_ngrams, p5_found, p5_pairs, p6_found, p6_forms, p7_found, p7_near, p8_mix, p8_shares, p9_found, p9_sources)
+    found = (p1_found, p2_found, p2_links, p3_found, p3_values, p3_ngrams, p5_found, p5_pairs, p6_found, p6_forms, p7_found, p7_near, p8_mix, p8_shares, p9_found, p9_sources)
     return {f.__name__: f for f in found}
 
 

@@ -279,7 +279,13 @@ def plan_of(threshold: float, recall: float, first: int = 2) -> tuple[int, int]:
     return trees, math.floor(mean - 3.2 * spread)
 
 
-def similar_classes(records: DataFrame, key: str, apart: str, sets: list[str], version: str | None = None, min_size: int = 1, threshold: float = 0.8, recall: float = 0.985, limit: int = 200, first: int = 2, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+def first_levels(records: int) -> int:
+    """Levels taken before the shuffle: two, and one more for each factor of ten above five million records, as a
+    level divides unlike records by about ten; the nodes a task gets so keep their size as the table grows."""
+    return 2 + max(0, math.ceil(math.log10(max(1, records) / 5e6)))
+
+
+def similar_classes(records: DataFrame, key: str, apart: str, sets: list[str], version: str | None = None, min_size: int = 1, threshold: float = 0.8, recall: float = 0.985, limit: int = 200, first: int | None = None, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets, and pairs of classes that are similar.
 
     Returns members (k, a, cid), one row for each record, and links (ca, cb, jaccard), ca < cb, between classes. See
@@ -287,6 +293,7 @@ def similar_classes(records: DataFrame, key: str, apart: str, sets: list[str], v
     """
     prepared = stored(_prepare(records, key, apart, sets, version, min_size), "sets")
     members = prepared.groupBy("k").agg(F.max(F.struct("v", "cid", "a")).alias("m")).select("k", F.col("m.a").alias("a"), F.col("m.cid").alias("cid"))
+    first = first or first_levels(prepared.count())
     trees, bits = plan_of(threshold, recall, first)
     found = stored(_candidates(_entries(prepared, trees, first, seed), limit, bits), "candidates")
     need = found.select(F.col("ca").alias("cid")).union(found.select("cb")).distinct()
@@ -317,3 +324,20 @@ def similar_pairs(records: DataFrame, key: str, apart: str, sets: list[str], **h
     within = one.join(two, F.col("ca") == F.col("cb")).where("id_a < id_b and ga <> gb")
     out = across.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
     return out.union(within.select("id_a", "id_b"))
+
+
+def linked_records(records: DataFrame, key: str, apart: str, sets: list[str], **how: object) -> DataFrame:
+    """Rows (key, class_id, links) of every record: the class of its set, and the number of similar_pairs() it is in.
+
+    Pairs are counted from the sizes of classes and of their groups, so copies are never expanded.
+    """
+    members, links = similar_classes(records, key, apart, sets, **how)
+    sizes = stored(members.groupBy("cid", "a").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    whole = sizes.groupBy("cid").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("a").isNotNull(), F.col("n"))).alias("known"))
+    both = links.select(F.col("ca").alias("cid"), F.col("cb").alias("other")).union(links.select("cb", "ca"))
+    near = stored(both.union(whole.select("cid", F.col("cid").alias("other"))), "near")  # a class is near itself
+    total = near.join(whole.select(F.col("cid").alias("other"), "known"), "other").groupBy("cid").agg(F.sum("known").alias("total"))
+    own = near.join(sizes.select(F.col("cid").alias("other"), "a", "n"), "other").groupBy("cid", "a").agg(F.sum("n").alias("own"))
+    got = members.join(total, "cid").join(own, ["cid", "a"], "left")
+    count = F.when(F.col("a").isNull(), 0).otherwise(F.coalesce("total", F.lit(0)) - F.coalesce("own", F.lit(0)))
+    return got.select(F.col("k").alias(key), F.col("cid").alias("class_id"), count.cast("long").alias("links"))

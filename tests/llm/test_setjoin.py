@@ -58,6 +58,19 @@ def test_copies_and_dirt(spark):
     assert run(spark, []) == set()
 
 
+def test_links_are_counted_without_pairs(spark):
+    rows = made(5, 120) + [(9000 + k, k % 4, list(range(30)), None, None, 0, 0) for k in range(12)] + [(9100, None, list(range(30)), None, None, 0, 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {r[0]: 0 for r in rows}
+    for a, b in J.similar_pairs(df, "rec_id", "doc_id", ["l", "c", "r"], min_size=24).collect():
+        want[a] += 1
+        want[b] += 1
+    got = J.linked_records(df, "rec_id", "doc_id", ["l", "c", "r"], min_size=24).collect()
+    assert {r["rec_id"]: r["links"] for r in got} == want and want[9000] >= 9
+    classes = {r["rec_id"]: r["class_id"] for r in got}
+    assert len({classes[9000 + k] for k in range(12)}) == 1 and J.first_levels(10**6) == 2 and J.first_levels(10**9) == 5
+
+
 def test_the_latest_version_holds(spark):
     a, b = list(range(30)), list(range(100, 130))
     rows = [(1, 1, a, None, None, 0, 1), (1, 1, b, None, None, 0, 2), (2, 2, a, None, None, 0, 1), (3, 3, b, None, None, 0, 1)]
