@@ -132,6 +132,7 @@ class Index:
         if not self.errors:
             return None
         tried = set()
+        least = self.words - 2 * self.errors  # an error spoils two words at most
         for p, q in hits:
             for back in range(0, self.words - self.piece + 1, self.piece):
                 s = q - back
@@ -139,6 +140,9 @@ class Index:
                     continue
                 tried.add((s, p - q))
                 near = doc[max(0, p - back - self.errors) : p - back + self.words + self.errors]
+                here = set(near)
+                if sum(w in here for w in item[s : s + self.words]) < least:
+                    continue
                 best = min(best, myers(" ".join(item[s : s + self.words]), " ".join(near), self.errors))
         return (run, best) if best <= self.errors else None
 

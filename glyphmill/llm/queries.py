@@ -76,7 +76,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_near(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), words=12, errors=3)
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), words=12, errors=2)
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
