@@ -71,10 +71,10 @@ def class_ids(row: np.ndarray, element: np.ndarray, n: int) -> np.ndarray:
 def _prepare(records: DataFrame, key: str, apart: str, sets: list[str], version: str | None, min_size: int) -> DataFrame:
     """Rows (k, a, v, cid, flat) of records with at least min_size elements."""
     lists = [F.col(c).alias(f"s{i}") for i, c in enumerate(sets)]
-    v = F.col(version).cast("timestamp_ntz").cast("string") if version else F.lit("")
+    v = F.col(version) if version else F.lit(0)
     some = sum((F.coalesce(F.size(F.col(c)), F.lit(0)) for c in sets), F.lit(0))
     rows = records.where(F.col(key).isNotNull() & (some >= min_size)).select(F.col(key).alias("k"), F.col(apart).alias("a"), v.alias("v"), *lists)
-    schema = T.StructType([T.StructField("k", rows.schema["k"].dataType), T.StructField("a", rows.schema["a"].dataType), T.StructField("v", T.StringType()), T.StructField("cid", T.LongType()), T.StructField("flat", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("k", rows.schema["k"].dataType), T.StructField("a", rows.schema["a"].dataType), T.StructField("v", rows.schema["v"].dataType), T.StructField("cid", T.LongType()), T.StructField("flat", T.ArrayType(T.LongType()))])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,12 +292,13 @@ def similar_classes(records: DataFrame, key: str, apart: str, sets: list[str], v
     similar_pairs() for the rules. Copies are not expanded into pairs, yet no link between different sets is lost.
     """
     prepared = stored(_prepare(records, key, apart, sets, version, min_size), "sets")
-    members = prepared.groupBy("k").agg(F.max(F.struct("v", "cid", "a")).alias("m")).select("k", F.col("m.a").alias("a"), F.col("m.cid").alias("cid"))
+    members = prepared.groupBy("k").agg(F.max(F.struct("v", "cid", "a")).alias("m"))
+    members = stored(members.select("k", F.col("m.a").alias("a"), F.col("m.cid").alias("cid")), "members")
     first = first or first_levels(prepared.count())
     trees, bits = plan_of(threshold, recall, first)
     found = stored(_candidates(_entries(prepared, trees, first, seed), limit, bits), "candidates")
     need = found.select(F.col("ca").alias("cid")).union(found.select("cb")).distinct()
-    flat = prepared.select("cid", "flat").join(need, "cid", "left_semi").groupBy("cid").agg(F.first("flat").alias("flat"))
+    flat = stored(prepared.select("cid", "flat").join(need, "cid", "left_semi").groupBy("cid").agg(F.first("flat").alias("flat")), "flat")
     links = found.join(flat.toDF("ca", "fa"), "ca").join(flat.toDF("cb", "fb"), "cb")
     both = F.size(F.array_intersect("fa", "fb"))
     links = links.select("ca", "cb", both.alias("i"), (F.size("fa") + F.size("fb")).alias("n"))
