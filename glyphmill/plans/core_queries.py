@@ -13,7 +13,7 @@ from ..functions import sparse as P
 from ..functions import threshold as A
 from ..functions.register import register
 from ..operators import decompose, dictionary, frequency, sections, segment, signature, tokenize, train
-from ..session import shared_folder
+from ..session import shared_folder, spread
 from ..sources import dictionaries, sig2
 from ..streaming import frequency as streaming
 from . import pipelines
@@ -33,7 +33,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    rows = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 # ---- texts to frequencies

@@ -56,3 +56,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     atexit.register(drop)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """The rows of a file scan over all cores, where it has fewer parts than there are cores; other scans stay as they
+    are. For work that costs far more for a row than moving it does."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
