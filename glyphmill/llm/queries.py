@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import cooccur, leaks, mixing, sentences, setjoin, termfreq, textform, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,7 +16,8 @@ TOKENS = {"key": "tok_id", "record": "doc_id", "position": "tok_pos", "columns":
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
