@@ -2,9 +2,11 @@
 
 Every record's set is embedded by min-hashing: coordinate i holds the token of the set that comes first in the i-th
 random order of all tokens.  A tree sends a record down one path: at each node a coordinate is drawn, the same for all
-records in the node, and records go on together when they hold the same token there.  Two records of similarity s stay
-together over d levels with chance s**d.  Small nodes are not split further but compared in full, by bit sketches;
-several trees reach the wanted recall; what is left is verified on the exact sets.
+records in the node, and records go on together when they hold the same token there.  No two trees share coordinates,
+so that what one loses another can find.  Two records of similarity s stay
+together over d levels with chance s**d.  Small nodes are not split further but compared in full, by bit sketches, and
+so are nodes of any size at the last level, for which the trees are planned; several trees reach the wanted recall;
+what is left is verified on the exact sets.
 
 The first levels of all trees are taken at once, where the record is read, and only (node, path, sketch, class) of 32
 bytes is shuffled, never a set.  The deeper levels happen inside the node's task, on the sorted path.  Records with the
@@ -25,8 +27,9 @@ from pyspark.sql import types as T
 
 from ..session import stored
 
-COORDINATES, CHOICES, LEVELS = 64, 12, 5  # of the embedding; per node of the first four levels; levels in a path
+COORDINATES, CHOICES, LEVELS = 64, 2, 2  # of the embedding, at least; per node; levels in a path
 HOT = 1 << 16  # classes a task remembers as sent
+WIDE, BLOCK = 512, 1024  # entries of a leaf from which it is compared in blocks; entries of a block
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -91,17 +94,22 @@ def _prepare(records: DataFrame, key: str, apart: str, sets: list[str], version:
     return rows.mapInArrow(part, schema)
 
 
-def min_hashes(size: np.ndarray, element: np.ndarray, seed: int) -> np.ndarray:
+def coordinates(trees: int, first: int) -> int:
+    """Coordinates that the trees and the sketches need."""
+    return max(COORDINATES, trees * (first + LEVELS) * CHOICES)
+
+
+def min_hashes(size: np.ndarray, element: np.ndarray, seed: int, count: int = COORDINATES) -> np.ndarray:
     """The embedding: for each coordinate and row the least hash in the row. No row may be empty."""
     start = np.concatenate(([0], np.cumsum(size)[:-1]))
     base = (mix(element.astype(np.uint64) ^ np.uint64(seed)) >> np.uint64(32)).astype(np.uint32)
     rng = np.random.default_rng(seed)
-    a = (rng.integers(1 << 31, size=COORDINATES, dtype=np.uint32) << 1) | 1
-    b = rng.integers(1 << 32, size=COORDINATES, dtype=np.uint32)
-    out = np.empty((COORDINATES, len(size)), np.uint32)
+    a = (rng.integers(1 << 31, size=count, dtype=np.uint32) << 1) | 1
+    b = rng.integers(1 << 32, size=count, dtype=np.uint32)
+    out = np.empty((count, len(size)), np.uint32)
     step = np.empty_like(base)
     high = base >> 15
-    for i in range(COORDINATES):
+    for i in range(count):
         np.multiply(base, a[i], out=step)
         np.add(step, b[i], out=step)
         np.bitwise_xor(step, high, out=step)
@@ -113,13 +121,11 @@ def paths(hashes: np.ndarray, trees: int, first: int, seed: int) -> Iterator[tup
     """For each tree the node after the first levels and the path below it, 8 bits a level, in the upper 40 bits."""
     n = hashes.shape[1]
     rows = np.arange(n)
-    rest = COORDINATES - 4 * CHOICES
     for tree in range(trees):
         node = mix(np.full(n, seed * 1000 + tree + 1, np.uint64))
         path = np.zeros(n, np.uint64)
         for level in range(first + LEVELS):
-            pick = node >> np.uint64(33)
-            at = level * CHOICES + pick % np.uint64(CHOICES) if level < 4 else 4 * CHOICES + pick % np.uint64(rest)
+            at = (tree * (first + LEVELS) + level) * CHOICES + (node >> np.uint64(33)) % np.uint64(CHOICES)
             node = mix(node ^ (hashes[at.astype(np.int64), rows].astype(np.uint64) + np.uint64((level + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
             if level == first - 1:
                 top = node
@@ -129,7 +135,7 @@ def paths(hashes: np.ndarray, trees: int, first: int, seed: int) -> Iterator[tup
 
 
 def sketches(hashes: np.ndarray) -> np.ndarray:
-    """One bit of each coordinate."""
+    """One bit of each of the first 64 coordinates."""
     out = np.zeros(hashes.shape[1], np.uint64)
     for i in range(COORDINATES):
         out |= ((hashes[i] * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint64) << np.uint64(i)
@@ -161,7 +167,7 @@ def _entries(prepared: DataFrame, trees: int, first: int, seed: int) -> DataFram
                 continue
             flat = batch.column(2).take(pa.array(idx))
             size = np.asarray(pc.list_value_length(flat)).astype(np.int64)
-            hashes = min_hashes(size, np.asarray(flat.flatten()), seed)
+            hashes = min_hashes(size, np.asarray(flat.flatten()), seed, coordinates(trees, first))
             sk, cids, tags = sketches(hashes).view(np.int64), cid[idx], tag[idx]
             for node, path in paths(hashes, trees, first, seed):
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array((path | tags).view(np.int64)), pa.array(sk), pa.array(cids)], names=["node", "path", "sk", "cid"])
@@ -171,7 +177,8 @@ def _entries(prepared: DataFrame, trees: int, first: int, seed: int) -> DataFram
 
 
 def _leaves(node: np.ndarray, path: np.ndarray, limit: int, depth: int) -> np.ndarray:
-    """The leaf of each entry, entries in the order of node and path: the shallowest node of at most limit entries."""
+    """The leaf of each entry, entries in the order of node and path: the shallowest node of at most limit entries, else
+    the node at the last level, however many it has."""
     n = len(node)
     leaf = np.full(n, -1)
     base = np.concatenate(([True], node[1:] != node[:-1]))
@@ -189,25 +196,28 @@ def _leaves(node: np.ndarray, path: np.ndarray, limit: int, depth: int) -> np.nd
     return leaf
 
 
-def _compare(node: np.ndarray, path: np.ndarray, sk: np.ndarray, cid: np.ndarray, limit: int, bits: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of classes that share a leaf and whose sketches agree in enough bits."""
-    leaf = _leaves(node, path, limit, depth)
+def _once(x: np.ndarray) -> np.ndarray:
+    """The entries (node, path, sketch, class) by node and path, of each class in a node one of each of two groups: it
+    needs two to meet every other. A class has the same path in all of its entries of a node."""
+    path = x[1].view(np.uint64)
     tag = path & np.uint64(0xFFFFFF)
-    order = np.lexsort((tag, cid, leaf))
-    leaf, tag, cid, sk = leaf[order], tag[order], cid[order], sk[order]
-    same = np.zeros(len(leaf), bool)
-    same[1:] = (leaf[1:] == leaf[:-1]) & (cid[1:] == cid[:-1])
-    again = same.copy()
-    again[1:] &= tag[1:] == tag[:-1]
-    third = np.zeros(len(leaf), bool)  # a class needs two groups to meet every other
-    kept = ~again
-    leaf, tag, cid, sk = leaf[kept], tag[kept], cid[kept], sk[kept]
-    if len(leaf) > 2:
-        third = np.zeros(len(leaf), bool)
-        third[2:] = (leaf[2:] == leaf[:-2]) & (cid[2:] == cid[:-2])
-        leaf, tag, cid, sk = leaf[~third], tag[~third], cid[~third], sk[~third]
-    out_a, out_b = [], []
-    at = np.arange(len(leaf))
+    order = np.lexsort((tag, x[3], path >> np.uint64(24), x[0]))
+    x, tag = x[:, order], tag[order]
+    for back in (1, 2):
+        same = np.zeros(x.shape[1], bool)
+        same[back:] = (x[0, back:] == x[0, :-back]) & (x[3, back:] == x[3, :-back])
+        if back == 1:
+            same[1:] &= tag[1:] == tag[:-1]
+        x, tag = x[:, ~same], tag[~same]
+    return x
+
+
+def _near(leaf: np.ndarray, sk: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places i < j of one leaf whose sketches agree in enough bits; the entries of a leaf lie together."""
+    start = np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1])))
+    end = np.append(start[1:], len(leaf))
+    wide = end - start >= WIDE
+    at = np.flatnonzero(np.repeat(~wide, end - start))
     step = 0
     while True:
         step += 1
@@ -215,17 +225,43 @@ def _compare(node: np.ndarray, path: np.ndarray, sk: np.ndarray, cid: np.ndarray
         at = at[leaf[at] == leaf[at + step]]
         if not len(at):
             break
-        to = at + step
-        hit = np.bitwise_count(sk[at] ^ sk[to]) <= 64 - bits
-        i, j = at[hit], to[hit]
+        hit = at[np.bitwise_count(sk[at] ^ sk[at + step]) <= 64 - bits]
+        yield hit, hit + step
+    for s, e in zip(start[wide].tolist(), end[wide].tolist(), strict=True):
+        for a in range(s, e, BLOCK):
+            for b in range(a, e, BLOCK):
+                i, j = np.nonzero(np.bitwise_count(sk[a : min(a + BLOCK, e), None] ^ sk[None, b : min(b + BLOCK, e)]) <= 64 - bits)
+                ok = i + a < j + b
+                yield i[ok] + a, j[ok] + b
+
+
+def _compare(x: np.ndarray, limit: int, bits: int, depth: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of classes that share a leaf and whose sketches agree in enough bits, in parts of about the given size."""
+    x = _once(x)
+    if not x.shape[1]:
+        return
+    path = x[1].view(np.uint64)
+    leaf, tag, sk, cid = _leaves(x[0], path, limit, depth), path & np.uint64(0xFFFFFF), x[2].view(np.uint64), x[3]
+    held: list[np.ndarray] = []
+    size = 0
+
+    def distinct() -> tuple[np.ndarray, np.ndarray]:
+        pair = np.concatenate(held, 1)
+        a, b = np.minimum(pair[0], pair[1]), np.maximum(pair[0], pair[1])
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        return a[new], b[new]
+
+    for i, j in _near(leaf, sk, bits):
         ok = (cid[i] != cid[j]) & (tag[i] != tag[j])
-        out_a.append(cid[i[ok]])
-        out_b.append(cid[j[ok]])
-    if not out_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = np.concatenate(out_a), np.concatenate(out_b)
-    pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-    return pair[:, 0], pair[:, 1]
+        held.append(np.stack([cid[i[ok]], cid[j[ok]]]))
+        size += held[-1].shape[1]
+        if size >= most:
+            yield distinct()
+            held, size = [], 0
+    if size:
+        yield distinct()
 
 
 def _candidates(entries: DataFrame, limit: int, bits: int, chunk: int = 1 << 18) -> DataFrame:
@@ -235,9 +271,9 @@ def _candidates(entries: DataFrame, limit: int, bits: int, chunk: int = 1 << 18)
         held: list[np.ndarray] = []
         size = 0
 
-        def run(x: np.ndarray, depth: int) -> pa.RecordBatch:
-            a, b = _compare(x[0], x[1].view(np.uint64), x[2].view(np.uint64), x[3], limit, bits, depth)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["ca", "cb"])
+        def run(x: np.ndarray, depth: int) -> Iterator[pa.RecordBatch]:
+            for a, b in _compare(x, limit, bits, depth):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["ca", "cb"])
 
         depth = 0
         for batch in batches:
@@ -246,25 +282,32 @@ def _candidates(entries: DataFrame, limit: int, bits: int, chunk: int = 1 << 18)
             if size < chunk:
                 continue
             x = np.concatenate(held, 1)
+            held = [x]
             cut = np.flatnonzero(x[0, 1:] != x[0, :-1])
             if len(cut):
-                z = cut[-1] + 1
                 # the first node may have begun in an earlier chunk that ended below it
-                yield run(x[:, :z], depth)
+                z = cut[-1] + 1
+                yield from run(x[:, :z], depth)
                 depth = 0
             elif size < 4 * chunk:
                 continue
-            else:  # one node fills the chunk: go one level down for it
-                depth = 1
-                p = x[1].view(np.uint64) >> np.uint64(56)
-                cut = np.flatnonzero(p[1:] != p[:-1])
-                if not len(cut):
+            else:  # one node fills the chunk: without repeats it may not, else go down for it
+                x = _once(x)
+                held, size = [x], x.shape[1]
+                if size < 4 * chunk:
+                    continue
+                for depth in range(1, LEVELS + 1):  # noqa: B007
+                    p = x[1].view(np.uint64) >> np.uint64(64 - 8 * depth)
+                    cut = np.flatnonzero(p[1:] != p[:-1])
+                    if len(cut):
+                        break
+                else:  # a node of the last level is compared as a whole
                     continue
                 z = cut[-1] + 1
-                yield run(x[:, :z], 1)
+                yield from run(x[:, :z], depth)
             held, size = [x[:, z:]], x.shape[1] - z
         if size:
-            yield run(np.concatenate(held, 1), depth)
+            yield from run(np.concatenate(held, 1), depth)
 
     n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = entries.repartition(n, "node").sortWithinPartitions("node", "path")
@@ -272,8 +315,8 @@ def _candidates(entries: DataFrame, limit: int, bits: int, chunk: int = 1 << 18)
 
 
 def plan_of(threshold: float, recall: float, first: int = 2) -> tuple[int, int]:
-    """Trees and agreeing sketch bits for a similarity and a recall at it; leaves lie about two levels below first."""
-    trees = math.ceil(math.log(1 - recall) / math.log(1 - threshold ** (first + 2)))
+    """Trees and agreeing sketch bits for a similarity and a recall at it; no leaf lies deeper than LEVELS below first."""
+    trees = math.ceil(math.log(1 - recall) / math.log(1 - threshold ** (first + LEVELS)))
     mean = 64 * (1 + threshold) / 2
     spread = math.sqrt(64 * (1 + threshold) / 2 * (1 - threshold) / 2)
     return trees, math.floor(mean - 3.2 * spread)

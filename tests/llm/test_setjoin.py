@@ -50,6 +50,35 @@ def test_small_leaves_find_as_much(spark):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_a_crowd_of_near_equal_sets(spark):
+    rng = np.random.default_rng(11)
+    rows, want = [], set()
+    for _ in range(6):
+        n, base = 500, rng.choice(4000, 36, replace=False)
+        held = np.zeros((n, 9000), np.float32)
+        for k in range(n):
+            s = base.copy()
+            s[rng.choice(36, 3, replace=False)] = rng.choice(np.arange(4000, 9000), 3, replace=False)
+            held[k, s] = 1
+            rows.append((len(rows), len(rows), s.tolist(), None, None, 0, 0))
+        both = held @ held.T
+        want |= {(len(rows) - n + int(a), len(rows) - n + int(b)) for a, b in np.argwhere(np.triu(both / (72 - both) >= 0.8, 1))}
+    got = run(spark, rows)
+    assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 10_000
+
+
+def test_leaves_of_any_size_are_compared_in_parts():
+    rng = np.random.default_rng(3)
+    n = 3 * J.BLOCK + 7
+    sk = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+    sk[-1] = sk[0]
+    x = np.stack([np.zeros(n, np.int64), np.arange(n), sk.view(np.int64), np.arange(n)])
+    x = np.concatenate([x, x[:, :9]], 1)  # sent twice
+    assert [(a.tolist(), b.tolist()) for a, b in J._compare(x, 200, 62, 0)] == [([0], [n - 1])]
+    parts = list(J._compare(x, 200, 0, 0, most=1 << 18))
+    assert sum(len(a) for a, _ in parts) == n * (n - 1) // 2 and len(parts) > 1
+
+
 def test_copies_and_dirt(spark):
     s = list(range(30))
     rows = [(k, k % 3, s[::-1] + [4, 4], None, [], 0, 0) for k in range(12)]
