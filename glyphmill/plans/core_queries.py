@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bytestr as B
@@ -68,9 +68,16 @@ def letter_words(s: SparkSession, d: str) -> DataFrame:
 select (select count(*) from w) as words, (select count(distinct lower(w)) from w) as distinct_words, (select count(*) from b) as delimiters, (select count(*) from w) + (select count(*) from b) as tokens"""
 )
 def token_totals(s: SparkSession, d: str) -> DataFrame:
+    """Totals of the letters only, as far as SQL can count them; text_totals() has those of the texts."""
     return frequency.totals(_letters(s, d))
 
 
+@query()
+def text_totals(s: SparkSession, d: str) -> DataFrame:
+    """Totals of the texts as they are."""
+    return frequency.totals(tokenize.tokenize(table(s, d, "documents")))
+
+
 TOKENS = "(select tok_type, tok_value as value, count(*) as freq from tokens where tok_value is not null and tok_value <> '' group by 1, 2)"
 
 
@@ -565,19 +572,29 @@ def range_bounds(s: SparkSession, d: str) -> DataFrame:
 # ---- sources, streams, functions in SQL
 
 
-@query(f"select lower(w) as value, count(*) as freq from (select unnest(regexp_extract_all({LETTERS}, '[A-Za-z]+')) as w from documents) group by 1")
-def streamed_words(s: SparkSession, d: str) -> DataFrame:
-    """Frequencies from a stream that reads the documents file by file."""
+def _streamed(s: SparkSession, d: str, text: Column) -> DataFrame:
+    """Rows (type, value, freq) from a stream that reads the documents file by file; text is what counts of each."""
     schema = table(s, d, "documents").schema
     import os
 
     path = f"{d}/documents.parquet"
     stream = s.readStream.schema(schema).parquet(path) if os.path.isdir(path) else s.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
-    texts = stream.select("doc_id", F.regexp_replace("text", "[^A-Za-z ]+", " ").alias("text"))
     name = f"words_{uuid.uuid4().hex}"
-    q = streaming.start(texts, f"{shared_folder(s)}/{name}", name)
+    q = streaming.start(stream.select("doc_id", text.alias("text")), f"{shared_folder(s)}/{name}", name)
     q.awaitTermination()
-    return s.table(name).where("type = 0").select("value", "freq")
+    return s.table(name)
+
+
+@query(f"select lower(w) as value, count(*) as freq from (select unnest(regexp_extract_all({LETTERS}, '[A-Za-z]+')) as w from documents) group by 1")
+def streamed_words(s: SparkSession, d: str) -> DataFrame:
+    """Frequencies of words from a stream of the letters only, as far as SQL can count them."""
+    return _streamed(s, d, F.regexp_replace("text", "[^A-Za-z ]+", " ")).where("type = 0").select("value", "freq")
+
+
+@query()
+def streamed_tokens(s: SparkSession, d: str) -> DataFrame:
+    """Frequencies of words and delimiters from a stream of the texts as they are."""
+    return _streamed(s, d, F.col("text")).select("type", "value", "freq")
 
 
 @query(f"select rec_id, array_to_string(list_sort(list_intersect(a, b)), ',') as both from {ONE_SIGNATURE}")

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.operators import decompose, dictionary, frequency, train
 from glyphmill.operators.tokenize import byte_tokens, tokenize, walk
+from glyphmill.plans import registry
 from glyphmill.sources import dictionaries
 
 # A small corpus with known counts of trained parts.
@@ -44,6 +46,17 @@ def test_tokens_of_nothing(spark):
     assert tokenize(df.limit(0)).count() == 0
 
 
+def test_totals_and_stream_of_whole_texts(spark, tmp_path):
+    texts = ["Don't pay $5 or 1,234.56 -- it's 2,4-d!", "Élan a-b\r\n\r\nU.S.A. 'so'  don't", "x... 日本 7", "Plain words only", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter(t for x in texts if x for t in walk(x.encode().decode("latin-1")))
+    words, rest = (sum(n for (k, _), n in want.items() if k == kind) for kind in (0, 1))
+    queries = registry.queries()
+    assert [tuple(r) for r in queries["text_totals"](spark, str(tmp_path)).collect()] == [(words, sum(k == 0 for k, _ in want), rest, words + rest)]
+    got = {(r["type"], r["value"]): r["freq"] for r in queries["streamed_tokens"](spark, str(tmp_path)).collect()}
+    assert got == want and got[0, "don't"] == 2 and got[0, "1,234.56"] == 1
+
+
 def test_ranks(spark):
     df = spark.createDataFrame([("b", 2), ("a", 2), ("c", 9), ("d", 1)], "value string, freq long").withColumn("g", F.lit(0))
     assert [r["value"] for r in frequency.ranked(df, ["g"]).orderBy("rank").collect()] == ["c", "a", "b", "d"]
