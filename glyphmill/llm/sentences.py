@@ -57,6 +57,8 @@ WORD = re.compile(r"[^\W\d_]+")
 NUMBER = re.compile(r"[$€£]?\d+(?:[.,:]\d+)*")
 DOTTED = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]")
 STOPPED = re.compile(r"(?<![^\W_])([^\W\d_]{1,6})\.(?=(\s+)([^\s])|\s*$)")
+OWN = re.compile(r"(?<![\w.])((?:[^\W\d_]\.)+[^\W\d_]|[^\W\d_]{2,6})\.(?=(\s+)([^\s])|\s*$)")
+NAMED = re.compile(r"(?<![^\W_])([^\W\d_]+),?[ \t]+(?=([^\W\d_]{2,}))")
 SHORT = re.compile(r"(?<![^\W_])[^\W\d_]{1,8}(?![^\W_])")
 
 
@@ -73,7 +75,7 @@ class Document:
     """One document's own evidence, made when first asked for."""
 
     def __init__(self, text: str, lexicon: Lexicon) -> None:
-        self.text, self.lexicon, self._words = text, lexicon, None
+        self.text, self.lexicon, self._words, self._inside, self._named = text, lexicon, None, None, None
 
     def plain(self, word: str) -> bool:
         """The document has the word, in these letters, without a stop after it."""
@@ -87,6 +89,39 @@ class Document:
             return False
         return not (len(word) > 1 and word.isalpha() and word.islower() and self.plain(word))
 
+    def _look(self) -> None:
+        """Words with a stop before a small letter or comma, and those with one at a paragraph's end."""
+        self._inside, self._final = Counter(), Counter()
+        for m in OWN.finditer(self.text):
+            if m[3] is None or len(LINES.findall(m[2])) > 1:
+                self._final[m[1]] += 1
+            elif m[3] in ",;" or _small(self.text, m.start(3), len(self.text)):
+                self._inside[m[1]] += 1
+
+    def name(self, word: str) -> bool:
+        """The document has the word with a capital inside a sentence, and never in small letters."""
+        if self._named is None:
+            self._named = {m[2] for m in NAMED.finditer(self.text) if m[1].islower() and m[2][0].isupper() and not m[2].isupper()}
+        return word in self._named and not self.common(word)
+
+    def says(self, word: str, following: str) -> bool | None:
+        """Whether the stop between the two words ends a sentence, as the document's other places tell; None if they
+        don't. A word with a stop before a small letter or comma, and never without one, is an abbreviation; a word
+        that can end sentences does so unless a name follows and it more often goes on; any other goes on unless a
+        common word follows."""
+        if self._inside is None:
+            if self.text.count(word + ".") < 2:  # no other place
+                return None
+            self._look()
+        inside = self._inside[word]
+        if not inside or inside <= self._final[word]:
+            return None
+        if DOTTED.fullmatch(word) or word in LAST or word in self.lexicon.last:
+            return False if self.name(following) else None
+        if word.lower() in self.lexicon.common or self.plain(word):
+            return None
+        return False if self.never_last(word) else self.common(following)
+
     def known(self, word: str) -> bool:
         return any(w in LAST or w in self.lexicon.last for w in self._cases(word)) or self.never_last(word)
 
@@ -191,6 +226,8 @@ def _at_dot(text: str, a: int, b: int, st: int, i: int, e: int, doc: Document) -
     if not text[w].isalpha():  # a number or a sign
         return not (doc.known(tok) or (len(tok) == 1 and tok.isalpha()) or (DOTTED.fullmatch(tok) and tail.islower()))
     m = WORD.match(text, w, b)
+    if m and (said := doc.says(tok, m.group())) is not None:
+        return said
     if _capitals(text, st, i, m) and not NUMBER.fullmatch(tok):
         if len(tok) == 1 or doc.never_last(tok):
             return False

@@ -45,6 +45,24 @@ def test_units(text, want):
     assert cut(text) == want
 
 
+OWN = [
+    # abk. stands inside sentences elsewhere in the document
+    ("We saw abk. then left. It was abk. then too. Now abk. Vander ran. He fell.", ["We saw abk. then left.", "It was abk. then too.", "Now abk. Vander ran.", "He fell."]),
+    ("See the abk. then go. Read the abk. The men saw the end.", ["See the abk. then go.", "Read the abk.", "The men saw the end."]),
+    # without such places, or where the word also stands without a stop, a capital ends the sentence
+    ("Now abk. Vander ran.", ["Now abk.", "Vander ran."]),
+    ("An abk here. We saw abk. then left. Now abk. Vander ran.", ["An abk here.", "We saw abk. then left.", "Now abk.", "Vander ran."]),
+    # a name after a word that may end a sentence, but goes on elsewhere in the document
+    ("They met Vander at 4 p.m. today. At 5 p.m. Vander left.", ["They met Vander at 4 p.m. today.", "At 5 p.m. Vander left."]),
+    ("They met Ander at 4 p.m. today. We ate at 5 p.m. Nobody left.", ["They met Ander at 4 p.m. today.", "We ate at 5 p.m.", "Nobody left."]),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), OWN)
+def test_the_document_decides_first(text, want):
+    assert cut(text) == want
+
+
 def test_the_corpus_teaches_abbreviations(spark):
     docs = [(i, f"The klm. Vander ran to town {i}. It was late.\n\nA long day ends here.\n\nAll went home.") for i in range(60)]
     df = spark.createDataFrame(docs, "doc_id int, text string")
