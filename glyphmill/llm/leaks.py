@@ -1,7 +1,8 @@
 """Test passages inside a corpus, by pigeonhole edit matching.
 
-A passage is a window of consecutive words of a test item.  Divided into one piece more than the errors allowed, at
-least one piece must stand in a document unharmed.  The pieces of all windows are hashed; each document is read once,
+A passage is a window of consecutive words of a test item.  An error spoils two pieces at most, where a space between
+them is lost; divided into one piece more than the errors allowed can spoil, at least one must stand in a document
+unharmed.  The pieces of all windows are hashed; each document is read once,
 its word runs of a piece's length are looked up, and the windows around a hit are verified with Myers' bit-parallel edit
 distance.  Words are those of the consistent form, lower-cased, so punctuation, line breaks and disguise do not matter.
 """
@@ -63,7 +64,7 @@ class Index:
 
     def __init__(self, items: list[tuple[object, str]], words: int, errors: int) -> None:
         self.words, self.errors = words, errors
-        self.piece = words // (errors + 1)
+        self.piece = words // (2 * errors + 1)  # a space lost where two pieces meet spoils both
         if not self.piece:
             raise ValueError("more errors than words in a window")
         self.ids = [i for i, _ in items]

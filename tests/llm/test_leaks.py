@@ -66,3 +66,14 @@ def test_near_copies_and_dirt(spark):
     assert one == [(1, 7, 1), (1, 7, 1), *[(5, 7, 0)] * 4]
     assert (2, 7, 2) in {(r["doc_id"], r["item_id"], r["distance"]) for r in L.leaked_items(d, i, words=12, errors=2).collect()}
     assert L.leaked_items(d.limit(0), i).count() == 0 and L.leaked_items(d, i.limit(0)).count() == 0
+
+
+def test_spaces_lost_where_pieces_meet(spark):
+    w = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima".split()
+    at = [" ".join(w[:k]) + " ".join(w[k:]) for k in range(1, 12)]  # a space lost behind the k-th word
+    docs = [(k, x) for k, x in enumerate(at)] + [(100 + k, x.replace("kilo", "kilt")) for k, x in enumerate(at)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    got = {r["doc_id"]: r["distance"] for r in L.leaked_items(df, items, words=12, errors=2).collect()}
+    assert got == {k: 1 + (k >= 100) for k, _ in docs}
+    assert {r["doc_id"] for r in L.leaked_items(df, items, words=12, errors=1).collect()} == set(range(11))
