@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sentences import forms_of
+from .lexicon import forms_of
 from .setjoin import mix
 
 WORD = re.compile(r"[^\W_]+")

@@ -1,11 +1,12 @@
 """Sentence units of texts in any language and script.
 
-Two passes.  The first gathers, over all documents, how each short word stands with a full stop: how often with one,
-how often before a small letter, how often at the end of a paragraph.  A word that nearly always has its stop is an
-abbreviation; one that in spite of many chances never ends a paragraph cannot end a sentence (titles, "No."), while
-one that does ("etc.") can.  The second pass cuts each document: evidence from the same document comes first, then the
-corpus, then a short list of well-known abbreviations; terminators, quotations and spaces follow the rules of the
-script they stand in.
+At a full stop the document itself decides first, by its unambiguous places.  A word that it has with a stop before a
+small letter or comma, and never without a stop, is an abbreviation; one that it has without a stop is an ordinary word
+and ends the sentence; a word that it has with a capital inside sentences, and not in small letters, is a name.  Where
+the document has no such place, counts over all documents decide (see lexicon.py): a word that, in spite of many
+chances, never ends a paragraph never ends a sentence (titles, "No."), and an abbreviation that does may ("etc.").  A
+short list of well-known abbreviations is a prior for words on which neither says anything.  Terminators, quotations
+and spaces follow the rules of the script they stand in.
 
 Decisions are made on the consistent form of the text, so disguised letters and characters without width do not hide
 an abbreviation; offsets refer to the text as stored.
@@ -13,28 +14,27 @@ an abbreviation; offsets refer to the text as stored.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .textform import code_points, form_points, slices
+from .lexicon import BEFORE, COMMON, LAST, LETTER, LINES, LONGEST, WORD, Corpus, Lexicon, consulted, corpus_of, forms_of, small, stops
 
-# Abbreviations before a name, a number or an example, which do not end a sentence.
-BEFORE = frozenset(
+# Abbreviations before a name, a number or an example, which do not end a sentence; a prior only.
+SEED_BEFORE = frozenset(
     "Dr Mr Mrs Ms Prof St Rev Gen Col Capt Lt Sgt Hon No Nos Vol Vols Fig Figs Sec Ch Art Eq p pp cf approx ca vs viz al "
     "M MM Mme Mlle Mgr t ch éd n ex Fr Hr Hrn Nr Bd Bde S Abb Abs Kap Tab Aufl bzw vgl Vgl sog ggf evtl "
     "Sr Sra Srta Sres Dra Ud Uds D núm pág págs cap art ej "
     "e.g i.e z.B d.h u.a o.ä p.ex p.ej डॉ श्री د أ".split()
 )
-# Abbreviations that can be the last word of a sentence.
-LAST = frozenset("etc usw usf a.m p.m Inc Ltd Corp Co Jr".split())
+# Abbreviations that can be the last word of a sentence; a prior only.
+SEED_LAST = frozenset("etc usw usf a.m p.m Inc Ltd Corp Co Jr".split())
 # Words before a German ordinal, and verbs that name the speaker of a quotation.
 ORDINAL_BEFORE = frozenset("am im vom zum beim der die das den dem des ab bis seit im den und".split())
 SPEECH = frozenset(
@@ -48,55 +48,48 @@ HARD = "。।॥؟۔"
 TERM = ".!?…" + HARD
 AFTER = "\"”’»›)]』」'"
 
-LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 RULE = re.compile(r"([*+\-=_~])\1{2,}")
 HEADING = re.compile(r"#+\s+\S")
 ITEM = re.compile(r"(?:[-*+•‣◦·–]|\(?\d{1,3}[.)]|\(?[A-Za-z]\))\s+\S")
 EVENT = re.compile(r"""["“„«»「『(\[‹《〈]|[.!?…。।॥؟۔]+|(?<=[฀-๿])\s+|(?<=[0-9])\s+(?=[฀-๿])""")
-WORD = re.compile(r"[^\W\d_]+")
 NUMBER = re.compile(r"[$€£]?\d+(?:[.,:]\d+)*")
-DOTTED = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]")
-STOPPED = re.compile(r"(?<![^\W_])([^\W\d_]{1,6})\.(?=(\s+)([^\s])|\s*$)")
-OWN = re.compile(r"(?<![\w.])((?:[^\W\d_]\.)+[^\W\d_]|[^\W\d_]{2,6})\.(?=(\s+)([^\s])|\s*$)")
-NAMED = re.compile(r"(?<![^\W_])([^\W\d_]+),?[ \t]+(?=([^\W\d_]{2,}))")
-SHORT = re.compile(r"(?<![^\W_])[^\W\d_]{1,8}(?![^\W_])")
-
-
-@dataclass
-class Lexicon:
-    """What the corpus says: words that never end a sentence, those that may, and words common in small letters."""
-
-    before: set[str] = field(default_factory=set)
-    last: set[str] = field(default_factory=set)
-    common: set[str] = field(default_factory=set)
+DOTTED = re.compile(f"(?:[{LETTER}]\\.)+[{LETTER}]")
+NAMED = re.compile(f"(?<![{LETTER}0-9])([{LETTER}]+),?[ \t]+(?=([{LETTER}]{{2,}}))")
+LAST_WORD = re.compile(f"[{LETTER}]+\\Z")
+SHORT = 2000  # characters of a text in which a word is looked for before all words are counted
 
 
 class Document:
-    """One document's own evidence, made when first asked for."""
+    """One document's own evidence, made when first asked for, and behind it the corpus and the seeds."""
 
     def __init__(self, text: str, lexicon: Lexicon) -> None:
-        self.text, self.lexicon, self._words, self._inside, self._named = text, lexicon, None, None, None
+        self.text, self.lexicon, self._plain, self._named = text, lexicon, None, None
+        self._kinds: dict[str, int] = {}
 
-    def plain(self, word: str) -> bool:
-        """The document has the word, in these letters, without a stop after it."""
-        if self._words is None:
-            self._words = Counter(m for m in WORD.findall(self.text))
-            self._stopped = Counter(m[0] for m in STOPPED.findall(self.text))
-        return self._words[word] > self._stopped[word]
+    def _look(self) -> None:
+        """Words without a stop, those with one before a small letter or comma, and those with one at a paragraph's end."""
+        self._plain, self._inside, self._final = Counter(WORD.findall(self.text)), Counter(), Counter()
+        for word, what in stops(self.text):
+            (self._final if what in ("end", "text") else self._inside)[word] += what != "big"
+            self._plain[word] -= 1
+        if m := LAST_WORD.search(self.text, max(0, len(self.text) - 40)):  # the text may be cut before its stop
+            self._plain[m.group()] -= 1
 
-    def never_last(self, word: str) -> bool:
-        if not any(w in BEFORE or w in self.lexicon.before for w in self._cases(word)):
-            return False
-        return not (len(word) > 1 and word.isalpha() and word.islower() and self.plain(word))
+    def plain(self, word: str) -> bool:
+        """The document has the word, in these letters, without a stop after it, and not only as its last word."""
+        if self._plain is None:
+            if len(self.text) < SHORT and self.text.count(word) == self.text.count(word + "."):
+                return False
+            self._look()
+        return self._plain[word] > 0
 
-    def _look(self) -> None:
-        """Words with a stop before a small letter or comma, and those with one at a paragraph's end."""
-        self._inside, self._final = Counter(), Counter()
-        for m in OWN.finditer(self.text):
-            if m[3] is None or len(LINES.findall(m[2])) > 1:
-                self._final[m[1]] += 1
-            elif m[3] in ",;" or _small(self.text, m.start(3), len(self.text)):
-                self._inside[m[1]] += 1
+    def abbreviation(self, word: str) -> bool:
+        """The document has the word with a stop before a small letter or comma, more often than at a paragraph's end."""
+        if self._plain is None:
+            if len(self.text) < SHORT and self.text.count(word + ".") < 2:  # no other place
+                return False
+            self._look()
+        return self._inside[word] > self._final[word]
 
     def name(self, word: str) -> bool:
         """The document has the word with a capital inside a sentence, and never in small letters."""
@@ -104,50 +97,75 @@ class Document:
             self._named = {m[2] for m in NAMED.finditer(self.text) if m[1].islower() and m[2][0].isupper() and not m[2].isupper()}
         return word in self._named and not self.common(word)
 
+    def kind(self, word: str) -> int:
+        """What the corpus says of the word, in any case it may stand in; what the seeds say where that is nothing."""
+        got = self._kinds.get(word)
+        if got is None:
+            cases = (word, word.lower(), word.title()) if len(word) > 1 and word.isupper() else (word,)
+            told = {self.lexicon.kind(w) for w in cases}
+            got = next((k for k in (BEFORE, LAST, COMMON) if k in told), 0)
+            got = got or (BEFORE if any(w in SEED_BEFORE for w in cases) else LAST if any(w in SEED_LAST for w in cases) else 0)
+            self._kinds[word] = got
+        return got
+
+    def never_last(self, word: str) -> bool:
+        return self.kind(word) == BEFORE and not (len(word) > 1 and word.isalpha() and word.islower() and self.plain(word))
+
+    def known(self, word: str) -> bool:
+        return self.kind(word) == LAST or self.never_last(word)
+
+    def common(self, word: str) -> bool:
+        low = word.lower()
+        return low != word and (self.plain(low) or self.lexicon.kind(low) == COMMON)
+
     def says(self, word: str, following: str) -> bool | None:
         """Whether the stop between the two words ends a sentence, as the document's other places tell; None if they
-        don't. A word with a stop before a small letter or comma, and never without one, is an abbreviation; a word
-        that can end sentences does so unless a name follows and it more often goes on; any other goes on unless a
-        common word follows."""
-        if self._inside is None:
-            if self.text.count(word + ".") < 2:  # no other place
-                return None
-            self._look()
-        inside = self._inside[word]
-        if not inside or inside <= self._final[word]:
+        don't. An ordinary word ends it. An abbreviation that can end sentences does so unless a name follows; any
+        other goes on unless a common word follows."""
+        if len(word) < 2 or len(word) > 2 * LONGEST:
             return None
-        if DOTTED.fullmatch(word) or word in LAST or word in self.lexicon.last:
+        if not self.abbreviation(word):
+            return True if word.isalpha() and word.islower() and self.plain(word) else None
+        if DOTTED.fullmatch(word) or self.kind(word) == LAST:
             return False if self.name(following) else None
-        if word.lower() in self.lexicon.common or self.plain(word):
+        if self.plain(word) or self.lexicon.kind(word.lower()) == COMMON:
             return None
         return False if self.never_last(word) else self.common(following)
 
-    def known(self, word: str) -> bool:
-        return any(w in LAST or w in self.lexicon.last for w in self._cases(word)) or self.never_last(word)
 
-    @staticmethod
-    def _cases(word: str) -> tuple[str, ...]:
-        return (word, word.lower(), word.title()) if len(word) > 1 and word.isupper() else (word,)
+class Closers:
+    """Where each opening mark of a range closes, found in one pass for each kind of mark."""
 
-    def common(self, word: str) -> bool:
-        low = word.lower()
-        return low != word and (self.plain(low) or low in self.lexicon.common)
+    def __init__(self, text: str, a: int, b: int) -> None:
+        self.text, self.a, self.b, self._of = text, a, b, {}
+
+    def at(self, i: int) -> int:
+        """Where the mark opened at i closes; -1 if it doesn't."""
+        c = self.text[i]
+        found = self._of.get(c)
+        if found is None:
+            found, open_, ends = {}, [], CLOSES[c]
+            for m in _PAIR[c].finditer(self.text, self.a, self.b):
+                if m.group() in ends:
+                    if open_:
+                        found[open_.pop()] = m.start()
+                    if c not in ends:
+                        continue
+                    open_ = []  # the mark is its own end: what comes next ends it
+                open_.append(m.start())
+            self._of[c] = found
+        return found.get(i, -1)
+
+
+_PAIR = {c: re.compile(f"[{re.escape(c + ends)}]") for c, ends in CLOSES.items()}
 
 
 def _capitals(text: str, st: int, i: int, m: re.Match | None) -> bool:
     """The sentence so far and the next word are in capitals, so that case says nothing."""
     if not m or not m.group().isupper() or len(m.group()) < 2:
         return False
-    so_far = text[st:i]
-    return so_far.isupper() and sum(c.isupper() for c in so_far) > 2 and len(so_far) > i - st - 1
-
-
-def _small(text: str, q: int, b: int) -> bool:
-    """A word in small letters begins at q; pH or iPhone is no such word."""
-    if not text[q].islower():
-        return False
-    m = WORD.match(text, q, b)
-    return not (m and any(c.isupper() for c in m.group()))
+    around = text[max(st, i - 40) : i] + text[m.start() : m.start() + 12]
+    return around.isupper() and sum(c.isupper() for c in around) > 4
 
 
 def _skip(text: str, q: int, b: int, what: str) -> int:
@@ -156,25 +174,6 @@ def _skip(text: str, q: int, b: int, what: str) -> int:
     return q
 
 
-def _close(text: str, i: int, b: int) -> int:
-    """Where the mark opened at i closes; -1 if it doesn't."""
-    c = text[i]
-    ends = CLOSES[c]
-    if c == '"':
-        j = text.find('"', i + 1, b)
-        return j
-    depth = 0
-    for j in range(i + 1, b):
-        d = text[j]
-        if d == c and d not in ends:
-            depth += 1
-        elif d in ends:
-            if not depth:
-                return j
-            depth -= 1
-    return -1
-
-
 def _opens(text: str, i: int, a: int) -> bool:
     c = text[i]
     if c == '"':
@@ -221,17 +220,19 @@ def _at_dot(text: str, a: int, b: int, st: int, i: int, e: int, doc: Document) -
     w = _skip(text, q, b, "\"“„«‹'‘’(¿¡[—–-「『")
     if w >= b:
         return True
-    if _small(text, w, b):
+    if small(text, w, b):
         return False
     if not text[w].isalpha():  # a number or a sign
         return not (doc.known(tok) or (len(tok) == 1 and tok.isalpha()) or (DOTTED.fullmatch(tok) and tail.islower()))
     m = WORD.match(text, w, b)
+    if len(tok) > LONGEST and tok.isalpha() and not tok.isupper():  # too long for an abbreviation
+        return True
     if m and (said := doc.says(tok, m.group())) is not None:
         return said
     if _capitals(text, st, i, m) and not NUMBER.fullmatch(tok):
         if len(tok) == 1 or doc.never_last(tok):
             return False
-        return not ((DOTTED.fullmatch(tok) or doc.known(tok)) and m.group().lower() in doc.lexicon.common)
+        return not ((DOTTED.fullmatch(tok) or doc.known(tok)) and doc.lexicon.kind(m.group().lower()) == COMMON)
     if NUMBER.fullmatch(tok):
         before = WORD.findall(text[max(st, j - 24) : j])
         near = text[max(st, j - 1) : j].isspace()
@@ -272,14 +273,14 @@ def _ends(text: str, a: int, b: int, st: int, i: int, run: str, e: int, doc: Doc
         if (not text[q].isupper() and text[q] not in "\"([#") or (word and "://" in word[0]):
             return False
     w = _skip(text, q, b, "\"“„«‹'‘(¿¡[—–-")
-    return w >= b or not _small(text, w, b)
+    return w >= b or not small(text, w, b)
 
 
 def split_block(text: str, a: int, b: int, doc: Document, final: bool) -> list[tuple[int, int, bool]]:
     """Sentences of the running text [a, b): start, end, and whether an open quotation runs to the end."""
     out: list[tuple[int, int, bool]] = []
     st = _skip(text, a, b, "")
-    pos, opened = st, False
+    pos, opened, closers = st, False, Closers(text, a, b)
 
     def cut(at: int) -> None:
         nonlocal st, pos
@@ -301,7 +302,7 @@ def split_block(text: str, a: int, b: int, doc: Document, final: bool) -> list[t
         if c in CLOSES:
             if not _opens(text, i, a):
                 continue
-            j = _close(text, i, b)
+            j = closers.at(i)
             if j < 0:
                 if final and c not in "([":
                     opened = True
@@ -321,7 +322,7 @@ def split_block(text: str, a: int, b: int, doc: Document, final: bool) -> list[t
             if nx in ",;:、)]，" or (nx in "-–—" and not (q + 1 < b and text[q + 1].isupper())):
                 continue
             w = _skip(text, q, b, "\"“„«‹'‘(¿¡[—–-")
-            upper = w < b and (text[w].isupper() or (text[w].isalpha() and not _small(text, w, b)))
+            upper = w < b and (text[w].isupper() or (text[w].isalpha() and not small(text, w, b)))
             if c in "([":
                 if first and upper and w < b and text[w].isupper():
                     cut(pos)
@@ -332,7 +333,7 @@ def split_block(text: str, a: int, b: int, doc: Document, final: bool) -> list[t
                 elif w < b and (text[w].isupper() or text[w].isdigit()) and not _speaks(text, q, b):
                     cut(pos)
                 continue
-            if w < b and _small(text, w, b):
+            if w < b and small(text, w, b):
                 continue
             if c in "「『" and nx in "とっ":
                 continue
@@ -402,18 +403,6 @@ def units(text: str, lexicon: Lexicon | None = None) -> list[tuple[int, int, str
     return out
 
 
-def forms_of(texts: pa.Array) -> Iterator[tuple[int, str, np.ndarray, int]]:
-    """Row, consistent form, place of each of its characters in the text, length of the text; nulls are left out."""
-    for first, some in slices(texts):
-        cps, starts = code_points(some)
-        form, at, src = form_points(cps, starts)
-        whole = form.astype("<u4").tobytes().decode("utf-32-le", "replace")
-        null = np.asarray(some.is_null())
-        for k in range(len(some)):
-            if not null[k]:
-                yield first + k, whole[at[k] : at[k + 1]], src[at[k] : at[k + 1]] - starts[k], int(starts[k + 1] - starts[k])
-
-
 def text_units(raw: str, form: str, src: np.ndarray, size: int, lexicon: Lexicon | None = None) -> list[tuple[int, int]]:
     """Units as ranges of the stored text."""
     out = []
@@ -425,96 +414,31 @@ def text_units(raw: str, form: str, src: np.ndarray, size: int, lexicon: Lexicon
     return out
 
 
-def gather(texts: pa.Array) -> Counter:
-    """For each short word: how often it stands, with a stop, with one before a small letter, at a paragraph's end."""
-    n: Counter = Counter()
-    for _, text, _, _ in forms_of(texts):
-        for w in SHORT.findall(text):
-            n[w, 0] += 1
-        for m in STOPPED.finditer(text):
-            w = m[1]
-            n[w, 1] += 1
-            if m[3] is None:
-                continue
-            if len(LINES.findall(m[2])) > 1:
-                n[w, 3] += 1
-            elif m[3] in ",;" or _small(text, m.start(3), len(text)):
-                n[w, 2] += 1
-    return n
-
-
-STATS = "word string, n_all long, n_stop long, n_small long, n_end long"
-
-
-def word_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Corpus counts of short words by how they stand with a full stop; see gather(). Sums are made in each batch."""
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = gather(batch.column(0))
-            words = sorted({w for w, _ in n})
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([n[w, k] for w in words], pa.int64()) for k in range(4))], names=STATS.replace(" string", "").replace(" long", "").split(", "))
-
-    parts = docs.select(text).where(F.col(text).isNotNull()).mapInArrow(part, STATS)
-    return parts.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n_all", "n_stop", "n_small", "n_end")))
-
-
-def lexicon_of(stats: DataFrame, share: float = 1e-5, sure: float = 1e-3) -> Lexicon:
-    """The abbreviations and common words of a corpus.
-
-    Only words that make up at least the given share of all short words are asked for, so there are at most 1 / share
-    of them, however large the corpus is. sure: the highest odds at which a word that never ended a paragraph is still
-    thought to end sentences.
-    """
-    stats = stats.persist()
-    try:
-        total, stops, ends = stats.agg(F.sum("n_all"), F.sum("n_stop"), F.sum("n_end")).first()
-        if not total:
-            return Lexicon()
-        rows = stats.where((F.col("n_all") >= max(3.0, share * total)) & ((F.col("n_stop") >= 0.9 * F.col("n_all")) | (F.col("word") == F.lower("word")))).collect()
-    finally:
-        stats.unpersist()
-    rate = min(0.5, max(0.02, (ends or 0) / max(1, stops or 1)))
-    found = Lexicon()
-    for w, n_all, n_stop, n_small, n_end in rows:
-        if n_stop >= 0.9 * n_all and n_stop >= 5:
-            big = n_stop - n_small
-            if len(w) == 1 and w.isupper():  # an initial
-                continue
-            if n_end <= 0.05 * rate * big and big * math.log(1 - rate) < math.log(sure):
-                found.before.add(w)
-            elif n_small >= max(3, 0.1 * n_stop) and len(w) <= 5:
-                found.last.add(w)
-        elif w == w.lower() and w != w.upper() and n_stop < 0.5 * n_all:
-            found.common.add(w)
-    return found
-
-
-def sentence_units(docs: DataFrame, key: str = "doc_id", text: str = "text", lexicon: Lexicon | None = None) -> DataFrame:
+def sentence_units(docs: DataFrame, key: str = "doc_id", text: str = "text", corpus: Corpus | None = None) -> DataFrame:
     """One row (key, seg_idx, seg_start, seg_end) for each unit of each document, half-open, in code points.
 
     A null text or one of white space and rule lines gives no unit; a null key is kept. Rows with the same key or text
     are cut alike and count each. Texts of any length are cut whole. Other columns are ignored, so their names may
-    clash with the result's; the key keeps its name and type. An empty table gives an empty result.
+    clash with the result's; the key keeps its name and type. An empty table gives an empty result. corpus: what other
+    documents say; by default these say it.
     """
-    if lexicon is None:
-        lexicon = lexicon_of(word_stats(docs, text))
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     kind = docs.schema[key].dataType
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = shared.value
-        for batch in batches:
-            rows, idx, start, end = [], [], [], []
-            raws = batch.column(1)
-            for k, form, src, size in forms_of(raws):
-                found = text_units(raws[k].as_py(), form, src, size, lex)
-                rows += [k] * len(found)
-                idx += range(len(found))
-                start += [s for s, _ in found]
-                end += [e for _, e in found]
-            keys = batch.column(0).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([keys, *(pa.array(x, pa.int32()) for x in (idx, start, end))], names=["k", "i", "s", "e"])
-
-    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(part, f"k {kind.simpleString()}, i int, s int, e int")
-    return out.toDF(key, "seg_idx", "seg_start", "seg_end")
+    i = T.IntegerType()
+    schema = T.StructType([T.StructField("k", kind), *(T.StructField(c, i) for c in "ise")])
+
+    def work(batch: pa.RecordBatch, lexicon: Callable[[int], Lexicon], done: Callable[[int, str], bool]) -> pa.RecordBatch:
+        rows, idx, start, end = [], [], [], []
+        raws = batch.column(1)
+        for k, form, src, size in forms_of(raws):
+            found = text_units(raws[k].as_py(), form, src, size, lexicon(k))
+            if not done(k, form):
+                continue
+            rows += [k] * len(found)
+            idx += range(len(found))
+            start += [s for s, _ in found]
+            end += [e for _, e in found]
+        keys = batch.column(0).take(pa.array(rows, pa.int64()))
+        return pa.RecordBatch.from_arrays([keys, *(pa.array(x, pa.int32()) for x in (idx, start, end))], names=["k", "i", "s", "e"])
+
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    return consulted(rows, corpus or corpus_of(docs, text), work, schema).toDF(key, "seg_idx", "seg_start", "seg_end")

@@ -105,8 +105,11 @@ class Tables:
         self.keys, self.made = keys, np.array([compose[k] for k in keys.tolist()], np.uint32)
         self.second = np.zeros(_TOP, bool)  # can stand second in a composition
         self.second[(keys & 0x1FFFFF)] = True
-        # code points that need any work at all
-        self.plain = (self.width == 1) & (self.simple == np.arange(_TOP)) & (self.alike == np.arange(_TOP)) & (self.ccc == 0) & ~self.second
+        # code points that stand for themselves, or for another single one, whatever is around them
+        whole = np.zeros(_TOP, bool)
+        whole[self.made] = True  # comes apart and together again, if its letter is not exchanged
+        whole[self.multi] &= self.alike[self.pool[self.first[self.multi]]] == self.pool[self.first[self.multi]]
+        self.plain = ((self.width == 1) | whole) & (self.alike == np.arange(_TOP)) & (self.ccc == 0) & ~self.second
 
     def _to(self, c: int, to: int) -> None:
         self.width[c], self.simple[c] = 1, to
@@ -233,14 +236,35 @@ def _compose(cps: np.ndarray, row: np.ndarray, src: np.ndarray, t: Tables) -> tu
 
 
 def form_points(cps: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The form of strings given as code points: code points, starts, and for each the place in cps it came from."""
+    """The form of strings given as code points: code points, starts, and for each the place in cps it came from.
+
+    Rows of plain code points need one lookup; the others are worked on together and put back in their places.
+    """
     t = tables()
+    size = np.diff(starts)
+    odd = np.zeros(len(cps) + 1, np.int64)
+    np.cumsum(~t.plain[cps], out=odd[1:])
+    hard = odd[starts[1:]] > odd[starts[:-1]]
+    if not hard.any():
+        return t.simple[cps], starts.copy(), np.arange(len(cps))
+    mask = np.repeat(hard, size)
+    places = np.flatnonzero(mask)
+    some, at, src = _form_hard(cps[places], np.concatenate(([0], np.cumsum(size[hard]))), t)
+    new = size.copy()
+    new[hard] = np.diff(at)
+    out_at = np.concatenate(([0], np.cumsum(new)))
+    out, out_src = np.empty(out_at[-1], np.uint32), np.empty(out_at[-1], np.int64)
+    into = np.repeat(hard, new)
+    out[into], out_src[into] = some, places[src]
+    easy = np.flatnonzero(~mask)
+    out[~into], out_src[~into] = t.simple[cps[easy]], easy
+    return out, out_at, out_src
+
+
+def _form_hard(cps: np.ndarray, starts: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(starts) - 1
     row = np.repeat(np.arange(n), np.diff(starts))
-    src = np.arange(len(cps))
-    if t.plain[cps].all():
-        return cps.copy(), starts.copy(), src
-    cps, row, src = _spread(cps, row, src, t)
+    cps, row, src = _spread(cps, row, np.arange(len(cps)), t)
     if len(cps):
         cps = _alike(cps, row, t).copy()
         src = src.copy()

@@ -2,11 +2,12 @@ from __future__ import annotations
 
 import pytest
 
+from glyphmill.llm import lexicon as X
 from glyphmill.llm import sentences as S
 
 
 def cut(text, lexicon=None):
-    form = S.forms_of(__import__("pyarrow").array([text]))
+    form = X.forms_of(__import__("pyarrow").array([text]))
     _, f, src, size = next(form)
     return [text[a:z] for a, z in S.text_units(text, f, src, size, lexicon)]
 
@@ -63,11 +64,48 @@ def test_the_document_decides_first(text, want):
     assert cut(text) == want
 
 
+@pytest.mark.parametrize(("text", "want"), [x for x in OWN if "abk" in x[0] or "Ander" in x[0]])
+def test_the_document_needs_no_list(text, want, monkeypatch):
+    monkeypatch.setattr(S, "SEED_BEFORE", frozenset())
+    monkeypatch.setattr(S, "SEED_LAST", frozenset())
+    assert cut(text) == want
+
+
+def test_without_the_document_units_change(monkeypatch):
+    before = [cut(text) for text, _ in OWN]
+    monkeypatch.setattr(S.Document, "says", lambda *_: None)
+    assert sum(cut(text) != was for (text, _), was in zip(OWN, before, strict=True)) >= 2
+
+
+def test_a_made_up_language_is_learnt_inside_one_document():
+    rng = __import__("random").Random(4)
+    word = lambda: "".join(rng.choice("vzkt") + rng.choice("aeo") for _ in range(rng.randint(4, 5)))
+    marks = ["zk", "vrt", "tkz"]  # abbreviations nobody knows
+    want = []
+    for _ in range(40):
+        a = rng.choice(marks)
+        want.append(f"{word().title()} {a}. {word()} {word()}." if rng.random() < 0.5 else f"{word().title()} {word()} {a}. {word().title()} {word()}.")
+    assert cut(" ".join(want)) == want
+
+
+def test_brackets_left_open_take_linear_time():
+    import time
+
+    def took(n):
+        text = "( x " * n + "(y) " * n + "\u201ca " * n
+        began = time.process_time()
+        S.units(text)
+        return time.process_time() - began
+
+    took(2000)
+    assert took(40_000) < 30 * took(4000) + 0.5
+
+
 def test_the_corpus_teaches_abbreviations(spark):
     docs = [(i, f"The klm. Vander ran to town {i}. It was late.\n\nA long day ends here.\n\nAll went home.") for i in range(60)]
     df = spark.createDataFrame(docs, "doc_id int, text string")
-    lexicon = S.lexicon_of(S.word_stats(df), share=1e-6, sure=1e-2)
-    assert "klm" in lexicon.before
+    lexicon = X.corpus_of(df, sure=1e-2).lexicon
+    assert lexicon.kind("klm") == X.BEFORE
     assert cut(docs[0][1], lexicon)[0] == "The klm. Vander ran to town 0." and len(cut(docs[0][1])) == 5
 
 

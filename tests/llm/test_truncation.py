@@ -19,6 +19,7 @@ def test_lengths():
         crlf = t.replace("\r\n", "\n").replace("\n", "\r\n")
         want = {
             "chars": len(t), "utf8": len(t.encode()), "utf16": len(t.encode("utf-16-le")) // 2, "html": len(html.escape(t)), "html_ascii": len(html.escape(t).encode("ascii", "xmlcharrefreplace")),
+            "chars_lf": len(t.replace("\r\n", "\n")), "utf8_lf": len(t.replace("\r\n", "\n").encode()), "html_lf": len(html.escape(t.replace("\r\n", "\n"))),
             "json": len(json.dumps(t, ensure_ascii=False)) - 2, "json_ascii": len(json.dumps(t)) - 2, "chars_crlf": len(crlf), "utf8_crlf": len(crlf.encode()), "html_crlf": len(html.escape(crlf)), "words": len(t.split()),
         }
         assert {m: int(v[k]) for m, v in got.items()} == want
@@ -52,8 +53,8 @@ def test_limits_are_found(spark):
     rows += [(1000, None, "free", "x"), (None, "Cut of", None, "x"), (1001, "", "free", "x"), rows[0]]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, cut string")
     docs, report = T.cut_off(df)
-    got = {r["source"]: (r["measure"], r["limit"]) for r in report.collect()}
-    assert got == {"short": ("chars", 200), "bytes": ("utf8", 300), "free": (None, None), None: (None, None)}
+    got = {r["source"]: [(x["measure"], x["at"]) for x in r["limits"]] for r in report.collect()}
+    assert got == {"short": [("chars", 200)], "bytes": [("utf8", 300)], "free": [], None: []}
     cut = {r["k"] for r in docs.where("cut").collect()}
     full = {k for k, t, s, _ in rows if t and ((s == "Short " and len(t) == 200) or (s == "bytes" and len(t.encode()) >= 300))}
     ends = {k for k, t, _, _ in rows if t and t.removesuffix("...").rstrip().endswith(".") and not t.endswith("....")}
@@ -62,5 +63,23 @@ def test_limits_are_found(spark):
     assert empty.count() == 0 and none.count() == 0
 
 
+def test_every_limit_of_a_source_counts(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("qwxz") for _ in range(rng.randint(2, 7)))
+    rows, cut = [], set()
+    for k in range(1500):
+        text = "".join(f"{word().title()} {word()} {word()} {word()}. " for _ in range(rng.randint(3, 60))).strip()
+        limit = (200, 500, 10_000)[k % 3]
+        if len(text) > limit:
+            text = text[: limit - 3] + "..."
+            cut.add(k)
+        rows.append((k, text, "one"))
+    docs, report = T.cut_off(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    (one,) = report.collect()
+    assert [(x["measure"], x["at"]) for x in one["limits"]] == [("chars", 200), ("chars", 500)]
+    found = {r["k"] for r in docs.where("cut").collect()}
+    assert len(found & cut) >= 0.95 * len(cut) and not found - cut
+
+
 def test_weights_cover_all_code_points():
     assert T.weights().shape == (7, 0x110000) and np.all(T.weights() >= 1)
