@@ -179,7 +179,7 @@ def judged(stats: DataFrame, sure: float = 1e-3) -> DataFrame:
     """Rows (word, kind, n_all) of the words that the counts tell something about.
 
     A word that, of all its stops, has far fewer at the ends of paragraphs than a word that ends sentences would by
-    chance, or hardly any that do not stand before a small letter, never ends one (BEFORE). sure: the highest chance at which that is believed. One that nearly always has a
+    chance, or (if it has no dots in it) hardly any that do not stand before a small letter, never ends one (BEFORE). sure: the highest chance at which that is believed. One that nearly always has a
     stop and often goes on in small letters is an abbreviation that may end one (LAST). One in small letters that mostly
     stands without a stop is COMMON. Initials are none of these. Shares and odds decide, not the size of the corpus.
     """
@@ -188,9 +188,10 @@ def judged(stats: DataFrame, sure: float = 1e-3) -> DataFrame:
     big, low = F.col("n_stop") - F.col("n_small"), F.lower("word")
     initial = (F.length("word") == 1) & (F.col("word") != low)
     few = math.log(sure) / math.log(1 - rate)  # so many chances a word that ends sentences doesn't miss
-    never = ((F.col("n_end") <= 0.05 * rate * big) & (big > few)) | ((F.col("n_end") == 0) & (big <= 0.05 * F.col("n_stop")) & (F.col("n_stop") > few))
+    inside = (F.col("n_end") == 0) & (big <= 0.05 * F.col("n_stop")) & (F.col("n_stop") > few) & ~F.col("word").contains(".")
+    never = ((F.col("n_end") <= 0.05 * rate * big) & (big > few)) | inside
     never = never & (F.col("n_stop") >= 0.25 * F.col("n_all"))
-    often = (F.col("n_stop") >= 0.9 * F.col("n_all")) & (F.col("n_stop") >= 5) & (F.length("word") <= 5) & (F.col("n_small") >= F.greatest(F.lit(3.0), 0.1 * F.col("n_stop")))
+    often = (F.col("n_stop") >= 0.9 * F.col("n_all")) & (F.col("n_stop") >= 5) & (F.length("word") <= 5) & (F.col("n_small") >= F.greatest(F.lit(3.0), 0.1 * F.col("n_stop"))) & ((F.col("n_end") > 0) | ~F.col("word").contains("."))
     plain = (F.col("word") == low) & (F.upper("word") != low) & (F.col("n_all") >= 3) & (F.col("n_stop") < 0.5 * F.col("n_all"))
     kind = F.when(initial, 0).when((F.col("n_stop") >= 5) & never, BEFORE).when(often, LAST).when(plain, COMMON).otherwise(0)
     return stats.select("word", kind.alias("kind"), "n_all").where("kind > 0")

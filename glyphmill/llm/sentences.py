@@ -101,7 +101,7 @@ class Document:
         """What the corpus says of the word, in any case it may stand in; what the seeds say where that is nothing."""
         got = self._kinds.get(word)
         if got is None:
-            cases = (word, word.lower(), word.title()) if len(word) > 1 and word.isupper() else (word,)
+            cases = (word, word.lower(), word.title()) if word.isalpha() and len(word) > 1 and word.isupper() else (word,)
             told = {self.lexicon.kind(w) for w in cases}
             got = next((k for k in (BEFORE, LAST, COMMON) if k in told), 0)
             got = got or (BEFORE if any(w in SEED_BEFORE for w in cases) else LAST if any(w in SEED_LAST for w in cases) else 0)

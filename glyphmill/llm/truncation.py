@@ -11,6 +11,7 @@ a mark left in place of the rest, a line like a signature, or a script without a
 from __future__ import annotations
 
 import functools
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -174,35 +175,44 @@ def _stands_at(length: F.Column, measure: F.Column, at: F.Column) -> F.Column:
     return (length == at) | (names[measure].startswith("utf8") & (length > at) & (length <= at + 2))
 
 
-def limits(profiled: DataFrame, least: int = 5, times: float = 5.0, around: int = 40) -> DataFrame:
+def _sure(open_: F.Column, usual: F.Column) -> F.Column:
+    """How little chance explains so many open texts where so many are usual, as a logarithm."""
+    usual = F.greatest(usual, F.lit(0.05))
+    return open_ * F.log(open_ / usual) - (open_ - usual)
+
+
+def limits(profiled: DataFrame, least: int = 5, times: float = 5.0, around: int = 40, sure: float = 15.0) -> DataFrame:
     """Rows (s, m, measure, at, n, open): all lengths at which a source's texts are cut.
 
-    A limit is a length with at least `least` different texts, most of which end open, and `times` as many such texts
-    as the lengths around it have on average. One length shows in many measures, as most texts measure the same in
+    A limit is a length with at least `least` different texts that end open (or with a mark for the rest), most of all
+    there; `times` as many as the lengths around it have on average, and more than chance gives with exp(-sure). Ends
+    that tell nothing (SOFT) count neither way. One length shows in many measures, as most texts measure the same in
     several. So of a source's candidates the one with most open texts is taken, its texts are set aside, and the others
     are counted again, as long as one holds. Before that the texts are summed by the candidates they stand at.
     """
     names = F.array(*map(F.lit, MEASURES))
-    each = stored(profiled.where("s is not null").select("s", "h", "state", "len").dropDuplicates(["s", "h"]), "texts")
-    flat = each.select("s", (F.col("state") > 0).cast("int").alias("open"), F.posexplode("len").alias("m", "at"))
+    told = profiled.where("s is not null").where(F.col("state") != SOFT)
+    each = stored(told.select("s", "h", (F.col("state") > SOFT).cast("int").alias("open"), "len").dropDuplicates(["s", "h"]), "texts")
+    flat = each.select("s", "open", F.posexplode("len").alias("m", "at"))
     counts = flat.groupBy("s", "m", "at").agg(F.count(F.lit(1)).alias("n"), F.sum("open").alias("open"))
     near = Window.partitionBy("s", "m").orderBy("at").rangeBetween(-around, around)
     usual = (F.sum("open").over(near) - F.col("open")) / (2.0 * around)
     floor = times * F.greatest(F.col("usual"), F.lit(0.2))
-    found = counts.withColumn("usual", usual).where((F.col("open") >= least) & (F.col("open") >= 0.6 * F.col("n")) & (F.col("open") >= floor))
-    listed = found.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("m", "at", floor.alias("floor")))).alias("c"))
+    found = counts.withColumn("usual", usual).where((F.col("open") >= least) & (F.col("open") >= 0.6 * F.col("n")) & (F.col("open") >= floor) & (_sure(F.col("open"), F.col("usual")) > sure))
+    listed = found.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("m", "at", "usual"))).alias("c"))
     here = each.join(listed, "s").withColumn("c", F.filter("c", lambda c: _stands_at(F.element_at("len", c["m"] + 1), c["m"], c["at"]))).where(F.size("c") > 0)
-    sets = here.groupBy("s", "c").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("state") > 0).cast("int")).alias("open"))
+    sets = here.groupBy("s", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("open").alias("open"))
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        left = [([(c["m"], c["at"], c["floor"]) for c in r.c], r.n, r.open) for r in rows.itertuples()]
+        left = [([(c["m"], c["at"], c["usual"]) for c in r.c], r.n, r.open) for r in rows.itertuples()]
+        chance = lambda n, usual: n * math.log(n / usual) - (n - usual)
         out = []
         while left:
             n, open_ = {}, {}
             for places, all_, cut in left:
                 for p in places:
                     n[p], open_[p] = n.get(p, 0) + all_, open_.get(p, 0) + cut
-            good = [p for p in n if open_[p] >= max(least, p[2], 0.6 * n[p])]
+            good = [p for p in n if open_[p] >= max(least, times * max(p[2], 0.2), 0.6 * n[p]) and chance(open_[p], max(p[2], 0.05)) > sure]
             if not good:
                 break
             best = min(good, key=lambda p: (-open_[p], p))
