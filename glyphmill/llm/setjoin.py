@@ -9,8 +9,10 @@ so are nodes of any size at the last level, for which the trees are planned; sev
 what is left is verified on the exact sets.
 
 The first levels of all trees are taken at once, where the record is read, and only (node, path, sketch, class) of 32
-bytes is shuffled, never a set.  The deeper levels happen inside the node's task, on the sorted path.  Records with the
-same set are one class: they are compared once, however many there are.
+bytes is shuffled, never a set.  The deeper levels happen inside the node's task, on the sorted path.  A node too large
+for a task is handed on as it streams by, divided into blocks, and every two blocks are compared in a task of their own.
+Records with the same set are one class: they are compared once, however many there are.  Two hashes of 64 bits tell
+classes apart; wherever one decides alone, the sets or the other hash are looked at afterwards.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from ..session import stored
 
 COORDINATES, CHOICES, LEVELS = 64, 2, 2  # of the embedding, at least; per node; levels in a path
 HOT = 1 << 16  # classes a task remembers as sent
+CHUNK = 1 << 17  # entries of whole nodes that a task compares at a time; larger nodes are divided
+TAG = np.uint64(0xFFFFFFFFFFFF)  # the bits of a path that tell the records' group
 WIDE, BLOCK = 512, 1024  # entries of a leaf from which it is compared in blocks; entries of a block
 
 
@@ -60,38 +64,40 @@ def flat_sets(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
     return (key >> np.uint64(40)).astype(np.int64), (key & np.uint64(0xFFFFFFFFFF)).astype(np.int64)
 
 
-def class_ids(row: np.ndarray, element: np.ndarray, n: int) -> np.ndarray:
+def class_ids(row: np.ndarray, element: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     """A 64-bit id of each row's set; equal sets have equal ids."""
     size = np.bincount(row, minlength=n)
     start = np.concatenate(([0], np.cumsum(size)[:-1]))
     total = np.zeros(n, np.uint64)
     some = size > 0
+    salt = np.uint64((0x9E3779B97F4A7C15 * (2 * seed + 1)) & 0xFFFFFFFFFFFFFFFF)
     if some.any():
-        total[some] = np.add.reduceat(mix(element.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), start[some])
+        total[some] = np.add.reduceat(mix(element.astype(np.uint64) + salt), start[some])
     return mix(total + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
 def _prepare(records: DataFrame, key: str, apart: str, sets: list[str], version: str | None, min_size: int) -> DataFrame:
-    """Rows (k, a, v, cid, flat) of records with at least min_size elements."""
+    """Rows (k, a, v, cid, sid, flat) of all records that have a key: the two ids of their sets and the sets, null for
+    those with fewer than min_size elements."""
     lists = [F.col(c).alias(f"s{i}") for i, c in enumerate(sets)]
     v = F.col(version) if version else F.lit(0)
-    some = sum((F.coalesce(F.size(F.col(c)), F.lit(0)) for c in sets), F.lit(0))
-    rows = records.where(F.col(key).isNotNull() & (some >= min_size)).select(F.col(key).alias("k"), F.col(apart).alias("a"), v.alias("v"), *lists)
-    schema = T.StructType([T.StructField("k", rows.schema["k"].dataType), T.StructField("a", rows.schema["a"].dataType), T.StructField("v", rows.schema["v"].dataType), T.StructField("cid", T.LongType()), T.StructField("flat", T.ArrayType(T.LongType()))])
+    some = sum((F.coalesce(F.size(F.col(c)), F.lit(0)) for c in sets), F.lit(0)) >= min_size
+    rows = records.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(apart).alias("a"), v.alias("v"), some.alias("some"), *lists)
+    kinds = (("k", rows.schema["k"].dataType), ("a", rows.schema["a"].dataType), ("v", rows.schema["v"].dataType), ("cid", T.LongType()), ("sid", T.LongType()), ("flat", T.ArrayType(T.LongType())))
+    schema = T.StructType([T.StructField(n, t) for n, t in kinds])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             row, element = flat_sets(batch.columns[3:])
             size = np.bincount(row, minlength=n)
-            cid = class_ids(row, element, n)
-            keep = size >= min_size
-            size, element = size[keep], element[keep[row]]
-            off = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-            idx = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(idx) for i in range(3)), pa.array(cid[keep]), pa.ListArray.from_arrays(pa.array(off), pa.array(element))], names=["k", "a", "v", "cid", "flat"])
+            few = size < min_size
+            ids = [pa.array(class_ids(row, element, n, seed), mask=few) for seed in (0, 1)]
+            flat = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(few, 0, size)))).astype(np.int32), mask=np.append(few, False)), pa.array(element[~few[row]]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *ids, flat], names=schema.names)
 
-    return rows.mapInArrow(part, schema)
+    small = rows.where(~F.col("some")).select("k", "a", "v", *[F.lit(None).cast(t).alias(n) for n, t in kinds[3:]])
+    return rows.where("some").drop("some").mapInArrow(part, schema).union(small)
 
 
 def coordinates(trees: int, first: int) -> int:
@@ -118,7 +124,7 @@ def min_hashes(size: np.ndarray, element: np.ndarray, seed: int, count: int = CO
 
 
 def paths(hashes: np.ndarray, trees: int, first: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each tree the node after the first levels and the path below it, 8 bits a level, in the upper 40 bits."""
+    """For each tree the node after the first levels and the path below it, 8 bits a level, in the upper 16 bits."""
     n = hashes.shape[1]
     rows = np.arange(n)
     for tree in range(trees):
@@ -143,13 +149,13 @@ def sketches(hashes: np.ndarray) -> np.ndarray:
 
 
 def _entries(prepared: DataFrame, trees: int, first: int, seed: int) -> DataFrame:
-    """Rows (node, path, sketch, cid): one for each class and tree; the low 24 bits of path tell the records' group."""
+    """Rows (node, path, sketch, cid): one for each class and tree; the low bits of path tell the records' group."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in batches:
             cid = np.asarray(batch.column(0))
-            tag = np.asarray(batch.column(1)).astype(np.uint64) & np.uint64(0xFFFFFF)
+            tag = np.asarray(batch.column(1)).astype(np.uint64) & TAG
             order = np.lexsort((tag, cid))
             c, t = cid[order], tag[order]
             new = np.concatenate(([True], c[1:] != c[:-1]))
@@ -172,7 +178,7 @@ def _entries(prepared: DataFrame, trees: int, first: int, seed: int) -> DataFram
             for node, path in paths(hashes, trees, first, seed):
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array((path | tags).view(np.int64)), pa.array(sk), pa.array(cids)], names=["node", "path", "sk", "cid"])
 
-    tagged = prepared.select("cid", F.xxhash64("a").alias("a"), "flat")
+    tagged = prepared.where("cid is not null").select("cid", F.xxhash64("a").alias("a"), "flat")
     return tagged.mapInArrow(part, "node long, path long, sk long, cid long")
 
 
@@ -200,8 +206,8 @@ def _once(x: np.ndarray) -> np.ndarray:
     """The entries (node, path, sketch, class) by node and path, of each class in a node one of each of two groups: it
     needs two to meet every other. A class has the same path in all of its entries of a node."""
     path = x[1].view(np.uint64)
-    tag = path & np.uint64(0xFFFFFF)
-    order = np.lexsort((tag, x[3], path >> np.uint64(24), x[0]))
+    tag = path & TAG
+    order = np.lexsort((tag, x[3], path >> np.uint64(48), x[0]))
     x, tag = x[:, order], tag[order]
     for back in (1, 2):
         same = np.zeros(x.shape[1], bool)
@@ -241,7 +247,8 @@ def _compare(x: np.ndarray, limit: int, bits: int, depth: int, most: int = 1 <<
     if not x.shape[1]:
         return
     path = x[1].view(np.uint64)
-    leaf, tag, sk, cid = _leaves(x[0], path, limit, depth), path & np.uint64(0xFFFFFF), x[2].view(np.uint64), x[3]
+    leaf, tag, sk, cid = _leaves(x[0], path, limit, depth), path & TAG, x[2].view(np.uint64), x[3]
+    side = x[4] if len(x) > 4 else None  # of a cell: twice the block, and 1 where the cell has only that one
     held: list[np.ndarray] = []
     size = 0
 
@@ -255,6 +262,8 @@ def _compare(x: np.ndarray, limit: int, bits: int, depth: int, most: int = 1 <<
 
     for i, j in _near(leaf, sk, bits):
         ok = (cid[i] != cid[j]) & (tag[i] != tag[j])
+        if side is not None:
+            ok &= (side[i] != side[j]) | (side[i] & 1 == 1)
         held.append(np.stack([cid[i[ok]], cid[j[ok]]]))
         size += held[-1].shape[1]
         if size >= most:
@@ -264,54 +273,87 @@ def _compare(x: np.ndarray, limit: int, bits: int, depth: int, most: int = 1 <<
         yield distinct()
 
 
-def _candidates(entries: DataFrame, limit: int, bits: int, chunk: int = 1 << 18) -> DataFrame:
+def _stacked(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[np.ndarray]:
+    for batch in batches:
+        yield np.stack([np.asarray(c) for c in batch.columns[:columns]])
+
+
+def _pairs(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for a, b in found:
+        none = pa.nulls(len(a), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none], names=["ca", "cb", "node", "path"])
+
+
+def _candidates(entries: DataFrame, limit: int, bits: int, chunk: int = CHUNK) -> DataFrame:
     """Distinct pairs (ca, cb) of classes found in some leaf."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        size = 0
+        size, hot = 0, None
 
-        def run(x: np.ndarray, depth: int) -> Iterator[pa.RecordBatch]:
-            for a, b in _compare(x, limit, bits, depth):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["ca", "cb"])
+        def hand_on(x: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x[i]) for i in (3, 2, 0, 1)], names=["ca", "cb", "node", "path"])
 
-        depth = 0
-        for batch in batches:
-            held.append(np.stack([np.asarray(c) for c in batch.columns]))
-            size += batch.num_rows
+        for x in _stacked(batches, 4):
+            if hot is not None:
+                z = int(np.searchsorted(x[0] != hot, True))
+                if z:
+                    yield hand_on(x[:, :z])
+                if z == x.shape[1]:
+                    continue
+                x, hot = x[:, z:], None
+            held.append(x)
+            size += x.shape[1]
             if size < chunk:
                 continue
             x = np.concatenate(held, 1)
-            held = [x]
             cut = np.flatnonzero(x[0, 1:] != x[0, :-1])
-            if len(cut):
-                # the first node may have begun in an earlier chunk that ended below it
-                z = cut[-1] + 1
-                yield from run(x[:, :z], depth)
-                depth = 0
-            elif size < 4 * chunk:
-                continue
-            else:  # one node fills the chunk: without repeats it may not, else go down for it
+            z = int(cut[-1]) + 1 if len(cut) else 0
+            if z:
+                yield from _pairs(_compare(x[:, :z], limit, bits, 0))
+            x = x[:, z:]
+            if x.shape[1] >= chunk:
                 x = _once(x)
-                held, size = [x], x.shape[1]
-                if size < 4 * chunk:
-                    continue
-                for depth in range(1, LEVELS + 1):  # noqa: B007
-                    p = x[1].view(np.uint64) >> np.uint64(64 - 8 * depth)
-                    cut = np.flatnonzero(p[1:] != p[:-1])
-                    if len(cut):
-                        break
-                else:  # a node of the last level is compared as a whole
-                    continue
-                z = cut[-1] + 1
-                yield from run(x[:, :z], depth)
-            held, size = [x[:, z:]], x.shape[1] - z
+                if x.shape[1] >= chunk:
+                    hot = x[0, 0]
+                    yield hand_on(x)
+                    x = x[:, :0]
+            held, size = [x], x.shape[1]
+        if size:
+            yield from _pairs(_compare(np.concatenate(held, 1), limit, bits, 0))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Compares every cell, rows (cell, path, sketch, class, side), as a whole; pairs of one side only where it is
+        the cell's only one."""
+        held: list[np.ndarray] = []
+        size = 0
+        for x in _stacked(batches, 5):
+            held.append(x)
+            size += x.shape[1]
+            if size < chunk:
+                continue
+            x = np.concatenate(held, 1)
+            cut = np.flatnonzero(x[0, 1:] != x[0, :-1])
+            if len(cut):
+                z = int(cut[-1]) + 1
+                yield from _pairs(_compare(x[:, :z], limit, bits, 0))
+                x = x[:, z:]
+            held, size = [x], x.shape[1]
         if size:
-            yield from run(np.concatenate(held, 1), depth)
+            yield from _pairs(_compare(np.concatenate(held, 1), limit, bits, 0))
 
     n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = entries.repartition(n, "node").sortWithinPartitions("node", "path")
-    return rows.mapInArrow(part, "ca long, cb long").distinct()
+    got = stored(rows.mapInArrow(part, "ca long, cb long, node long, path long"), "met")
+    large = got.where("node is not null").select("node", "path", F.col("cb").alias("sk"), F.col("ca").alias("cid"))
+    # a class has all of its entries of a node in one block
+    blocks = large.groupBy("node").agg(F.count(F.lit(1)).alias("n")).select("node", F.ceil(F.col("n") / (chunk / 2)).cast("int").alias("blocks"))
+    side = large.join(blocks, "node").withColumn("side", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    grid = side.withColumn("other", other).withColumn("cell", F.xxhash64("node", F.least("side", "other"), F.greatest("side", "other")))
+    grid = grid.select("cell", "path", "sk", "cid", (F.col("side") * 2 + (F.col("side") == F.col("other")).cast("int")).cast("long").alias("side"))
+    more = grid.repartition(n, "cell").sortWithinPartitions("cell", "path").mapInArrow(cells, "ca long, cb long, node long, path long")
+    return got.where("node is null").select("ca", "cb").union(more.select("ca", "cb")).distinct()
 
 
 def plan_of(threshold: float, recall: float, first: int = 2) -> tuple[int, int]:
@@ -328,24 +370,25 @@ def first_levels(records: int) -> int:
     return 2 + max(0, math.ceil(math.log10(max(1, records) / 5e6)))
 
 
-def similar_classes(records: DataFrame, key: str, apart: str, sets: list[str], version: str | None = None, min_size: int = 1, threshold: float = 0.8, recall: float = 0.985, limit: int = 200, first: int | None = None, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+def similar_classes(records: DataFrame, key: str, apart: str, sets: list[str], version: str | None = None, min_size: int = 1, threshold: float = 0.8, recall: float = 0.985, limit: int = 200, first: int | None = None, seed: int = 1, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets, and pairs of classes that are similar.
 
-    Returns members (k, a, cid), one row for each record, and links (ca, cb, jaccard), ca < cb, between classes. See
-    similar_pairs() for the rules. Copies are not expanded into pairs, yet no link between different sets is lost.
+    Returns members (k, a, cid, sid), one row for each record, and links (ca, sa, cb, sb, jaccard) between classes, a
+    class being the pair of ids. See similar_pairs() for the rules. Copies are not expanded into pairs, yet no link
+    between different sets is lost.
     """
     prepared = stored(_prepare(records, key, apart, sets, version, min_size), "sets")
-    members = prepared.groupBy("k").agg(F.max(F.struct("v", "cid", "a")).alias("m"))
-    members = stored(members.select("k", F.col("m.a").alias("a"), F.col("m.cid").alias("cid")), "members")
-    first = first or first_levels(prepared.count())
+    members = prepared.groupBy("k").agg(F.max(F.struct("v", "cid", "sid", "a")).alias("m"))
+    members = stored(members.where("m.cid is not null").select("k", F.col("m.a").alias("a"), F.col("m.cid").alias("cid"), F.col("m.sid").alias("sid")), "members")
+    first = first or first_levels(prepared.where("cid is not null").count())
     trees, bits = plan_of(threshold, recall, first)
-    found = stored(_candidates(_entries(prepared, trees, first, seed), limit, bits), "candidates")
+    found = stored(_candidates(_entries(prepared, trees, first, seed), limit, bits, chunk), "candidates")
     need = found.select(F.col("ca").alias("cid")).union(found.select("cb")).distinct()
-    flat = stored(prepared.select("cid", "flat").join(need, "cid", "left_semi").groupBy("cid").agg(F.first("flat").alias("flat")), "flat")
-    links = found.join(flat.toDF("ca", "fa"), "ca").join(flat.toDF("cb", "fb"), "cb")
+    flat = stored(prepared.select("cid", "sid", "flat").join(need, "cid", "left_semi").groupBy("cid", "sid").agg(F.first("flat").alias("flat")), "flat")
+    links = found.join(flat.toDF("ca", "sa", "fa"), "ca").join(flat.toDF("cb", "sb", "fb"), "cb")
     both = F.size(F.array_intersect("fa", "fb"))
-    links = links.select("ca", "cb", both.alias("i"), (F.size("fa") + F.size("fb")).alias("n"))
-    links = links.select("ca", "cb", (F.col("i") / (F.col("n") - F.col("i"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    links = links.select("ca", "sa", "cb", "sb", both.alias("i"), (F.size("fa") + F.size("fb")).alias("n"))
+    links = links.select("ca", "sa", "cb", "sb", (F.col("i") / (F.col("n") - F.col("i"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
     return members, links
 
 
@@ -355,17 +398,18 @@ def similar_pairs(records: DataFrame, key: str, apart: str, sets: list[str], **h
     records: key names the record; apart its group, and only records of different groups make a pair (for pairs
     between two tables, union them and let the table be the group); sets: array columns, kept apart from one another,
     in which repeats and order do not matter and null is empty. version: of rows with the same key the greatest
-    version holds, else the largest row. min_size: records with fewer elements are left out; so are null keys. A null
-    group differs from none and makes no pair. An empty table gives no pairs; other columns are ignored.
+    version holds, else the largest row. min_size: records whose row that holds has fewer elements are left out; so are
+    null keys. A null group differs from none and makes no pair. An empty table gives no pairs; other columns are
+    ignored.
 
     recall is the wanted share found of pairs exactly at the threshold; more similar ones are found more often, equal
     sets always. Every pair returned is exact.
     """
     members, links = similar_classes(records, key, apart, sets, **how)
-    one = members.toDF("id_a", "ga", "ca")
-    two = members.toDF("id_b", "gb", "cb")
-    across = links.select("ca", "cb").join(one, "ca").join(two, "cb").where("ga <> gb")
-    within = one.join(two, F.col("ca") == F.col("cb")).where("id_a < id_b and ga <> gb")
+    one = members.toDF("id_a", "ga", "ca", "sa")
+    two = members.toDF("id_b", "gb", "cb", "sb")
+    across = links.select("ca", "sa", "cb", "sb").join(one, ["ca", "sa"]).join(two, ["cb", "sb"]).where("ga <> gb")
+    within = one.join(two, (F.col("ca") == F.col("cb")) & (F.col("sa") == F.col("sb"))).where("id_a < id_b and ga <> gb")
     out = across.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
     return out.union(within.select("id_a", "id_b"))
 
@@ -376,12 +420,13 @@ def linked_records(records: DataFrame, key: str, apart: str, sets: list[str], **
     Pairs are counted from the sizes of classes and of their groups, so copies are never expanded.
     """
     members, links = similar_classes(records, key, apart, sets, **how)
-    sizes = stored(members.groupBy("cid", "a").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    whole = sizes.groupBy("cid").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("a").isNotNull(), F.col("n"))).alias("known"))
-    both = links.select(F.col("ca").alias("cid"), F.col("cb").alias("other")).union(links.select("cb", "ca"))
-    near = stored(both.union(whole.select("cid", F.col("cid").alias("other"))), "near")  # a class is near itself
-    total = near.join(whole.select(F.col("cid").alias("other"), "known"), "other").groupBy("cid").agg(F.sum("known").alias("total"))
-    own = near.join(sizes.select(F.col("cid").alias("other"), "a", "n"), "other").groupBy("cid", "a").agg(F.sum("n").alias("own"))
-    got = members.join(total, "cid").join(own, ["cid", "a"], "left")
+    of, to = ["cid", "sid"], ["other", "other_s"]
+    sizes = stored(members.groupBy(*of, "a").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    whole = sizes.groupBy(*of).agg(F.sum("n").alias("all"), F.sum(F.when(F.col("a").isNotNull(), F.col("n"))).alias("known"))
+    both = links.select("ca", "sa", "cb", "sb").union(links.select("cb", "sb", "ca", "sa")).toDF(*of, *to)
+    near = stored(both.union(whole.select(*of, *of)), "near")  # a class is near itself
+    total = near.join(whole.select(*of, "known").toDF(*to, "known"), to).groupBy(*of).agg(F.sum("known").alias("total"))
+    own = near.join(sizes.select(*of, "a", "n").toDF(*to, "a", "n"), to).groupBy(*of, "a").agg(F.sum("n").alias("own"))
+    got = members.join(total, of).join(own, [*of, "a"], "left")
     count = F.when(F.col("a").isNull(), 0).otherwise(F.coalesce("total", F.lit(0)) - F.coalesce("own", F.lit(0)))
     return got.select(F.col("k").alias(key), F.col("cid").alias("class_id"), count.cast("long").alias("links"))

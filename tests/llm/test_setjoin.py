@@ -121,13 +121,38 @@ def test_one_node_larger_than_a_chunk(spark):
     sk = rng.integers(-(1 << 62), 1 << 62, 600)
     sk[300:] = sk[:300]
     rows = [(7, int(rng.integers(0, 4)) << 56 | k, int(sk[k]), k) for k in range(600)]
-    rows = [(n, (p & ~0xFFFFFF) | c, s, c) for n, p, s, c in rows]
+    rows = [(n, (p & ~0xFFFFFFFFFFFF) | c, s, c) for n, p, s, c in rows]
     df = spark.createDataFrame(rows, "node long, path long, sk long, cid long")
-    small = J._candidates(df, 10_000, 60, chunk=64).collect()
-    whole = J._candidates(df, 10_000, 60).collect()
-    same = {c: p >> 56 for _, p, _, c in rows}
-    assert {tuple(r) for r in whole} == {(k, k + 300) for k in range(300)}
-    assert {tuple(r) for r in small} >= {(k, k + 300) for k in range(300) if same[k] == same[k + 300]}
+    small = {tuple(r) for r in J._candidates(df, 10_000, 60, chunk=64).collect()}  # a node of 600, in blocks of 32
+    whole = {tuple(r) for r in J._candidates(df, 10_000, 60).collect()}
+    assert whole == {(k, k + 300) for k in range(300)} and small == whole
+
+
+def test_a_divided_node_loses_no_pair(spark):
+    rows = made(7, 200)
+    df = spark.createDataFrame(rows, SCHEMA)
+    args = (df, "rec_id", "doc_id", ["l", "c", "r"])
+    got = [{tuple(r) for r in J.similar_pairs(*args, min_size=24, chunk=c).collect()} for c in (8, 1 << 17)]
+    assert got[0] >= got[1] and len(got[1]) > 50 and got[0] <= brute(rows, 24, 0.8)
+
+
+def test_the_latest_version_is_chosen_before_its_size(spark):
+    s = list(range(30))
+    rows = [(1, 1, s, None, None, 0, 1), (1, 1, s[:5], None, None, 0, 2), (2, 2, s, None, None, 0, 1), (3, 3, s, None, None, 0, 1), (3, 3, [1] * 40, None, None, 0, 2)]
+    df = spark.createDataFrame([*rows, (4, 4, s, None, None, 0, 1)], SCHEMA)
+    got = J.similar_pairs(df, "rec_id", "doc_id", ["l", "c", "r"], version="loaded", min_size=24)
+    assert [tuple(r) for r in got.collect()] == [(2, 4)]
+
+
+@pytest.mark.parametrize("first", [2, 3, 5])
+def test_recall_at_the_threshold_at_every_depth(spark, first):
+    rng = random.Random(first)
+    rows = []
+    for k in range(700):  # 40 shared of 45 and 45: 40 / 50
+        x = rng.sample(range(1 << 20), 50)
+        rows += [(2 * k, 2 * k, x[:45], None, None, 0, 0), (2 * k + 1, 2 * k + 1, x[:40] + x[45:], None, None, 0, 0)]
+    got = run(spark, rows, first=first)
+    assert got <= {(2 * k, 2 * k + 1) for k in range(700)} and len(got) >= 0.95 * 700
 
 
 @pytest.mark.parametrize("threshold", [0.5, 0.8, 0.95])
