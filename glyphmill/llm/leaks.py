@@ -1,10 +1,11 @@
 """Test passages inside a corpus, by pigeonhole edit matching.
 
-A passage is a window of consecutive words of a test item.  An error spoils two pieces at most, where a space between
-them is lost; divided into one piece more than the errors allowed can spoil, at least one must stand in a document
-unharmed.  The pieces of all windows are hashed; each document is read once,
-its word runs of a piece's length are looked up, and the windows around a hit are verified with Myers' bit-parallel edit
-distance.  Words are those of the consistent form, lower-cased, so punctuation, line breaks and disguise do not matter.
+A passage is a window of consecutive words of a test item, with an error budget in characters.  The window is split into
+one piece more than the budget, so at least one stands in a document unharmed; of each piece all words but the last are
+looked up, as a space lost between two pieces harms the last word of one and the first of the next, and so one piece
+only.  The pieces of all windows are hashed; each document is read once, its word runs of that length are looked up, and
+every window around a hit is verified with Myers' bit-parallel edit distance, for all windows of a batch at once.  Words
+are those of the consistent form, lower-cased, so punctuation, line breaks and disguise do not matter.
 """
 
 from __future__ import annotations
@@ -59,14 +60,66 @@ def myers(pattern: str, text: str, most: int) -> int:
     return best if best <= most else most + 1
 
 
+def myers_all(patterns: list[str], texts: list[str]) -> np.ndarray:
+    """The least edit distance of each pattern to any part of its text, for all at once; as myers() without a limit."""
+    best = np.array([len(p) for p in patterns], np.int64)
+    for some in _alike_sizes(patterns, texts):
+        m = np.array([len(patterns[k]) for k in some])
+        n = np.array([len(texts[k]) for k in some])
+        p, t = (np.zeros((len(some), size), np.uint32) for size in (max(1, m.max()), max(1, n.max())))
+        for i, k in enumerate(some):
+            p[i, : m[i]] = np.frombuffer(patterns[k].encode("utf-32-le"), np.uint32)
+            t[i, : n[i]] = np.frombuffer(texts[k].encode("utf-32-le"), np.uint32) + np.uint32(1)  # 0 stands for no character
+        p += np.arange(p.shape[1]) < m[:, None]
+        words = -(-p.shape[1] // 64)
+        width, rows = words * 64, np.arange(len(some))
+        bits = np.zeros((len(some), width), bool)
+        bits[:, : p.shape[1]] = np.arange(p.shape[1]) < m[:, None]
+        pack = lambda x: np.packbits(x, axis=1, bitorder="little").view("<u8").T.copy()
+        full = pack(bits)
+        top = np.maximum(m - 1, 0)
+        one = np.uint64(1)
+        pv, mv, score = full.copy(), np.zeros_like(full), m.copy()
+        least = m.copy()
+        for step in range(t.shape[1]):
+            c = t[:, step]
+            bits[:, : p.shape[1]] = (p == c[:, None]) & (p > 0)
+            eq = pack(bits)
+            xv = eq | mv
+            total, carry = np.empty_like(eq), np.zeros(len(some), np.uint64)
+            for w in range(words):
+                x = (eq[w] & pv[w]) + pv[w]
+                y = x + carry
+                carry = ((x < pv[w]) | (y < x)).astype(np.uint64)
+                total[w] = y
+            xh = (total ^ pv) | eq
+            ph, mh = (mv | ~(xh | pv)) & full, pv & xh
+            up, down = ((h[top >> 6, rows] >> (top & 63).astype(np.uint64)) & one for h in (ph, mh))
+            score += up.astype(np.int64) - down.astype(np.int64)
+            least = np.where((step < n) & (m > 0), np.minimum(least, score), least)
+            shift = lambda h: np.vstack([h[:1] << one, (h[1:] << one) | (h[:-1] >> np.uint64(63))]) & full
+            ph, mh = shift(ph), shift(mh)
+            pv, mv = (mh | ~(xv | ph)) & full, ph & xv
+        best[some] = least
+    return best
+
+
+def _alike_sizes(patterns: list[str], texts: list[str], most: int = 1 << 12) -> Iterator[list[int]]:
+    """Numbers of pairs of about the same size, so many at a time."""
+    order = sorted(range(len(patterns)), key=lambda k: (len(patterns[k]), len(texts[k])))
+    for a in range(0, len(order), most):
+        yield order[a : a + most]
+
+
 class Index:
     """Pieces of the windows of some items."""
 
     def __init__(self, items: list[tuple[object, str]], words: int, errors: int) -> None:
         self.words, self.errors = words, errors
-        self.piece = words // (2 * errors + 1)  # a space lost where two pieces meet spoils both
-        if not self.piece:
-            raise ValueError("more errors than words in a window")
+        self.step = words // (errors + 1)  # words from one piece to the next
+        self.piece = self.step - (errors > 0)  # words of it that are looked up
+        if self.piece < 1:
+            raise ValueError("too many errors for a window of so few words")
         self.ids = [i for i, _ in items]
         self.texts = [words_of(t) for _, t in items]
         self.vocabulary: dict[str, int] = {}
@@ -113,9 +166,9 @@ class Index:
                 yield r, p - int(starts[r]), int(self.item[k]), int(self.at[k])
                 k += 1
 
-    def verify(self, doc: list[str], hits: list[tuple[int, int]], item: list[str]) -> tuple[int, int] | None:
-        """Longest exact run of words and least distance of a whole window, given hits (place in doc, place in item)."""
-        run, best = 0, self.errors + 1
+    def run(self, doc: list[str], hits: list[tuple[int, int]], item: list[str]) -> int:
+        """The longest exact run of words through one of the hits (place in doc, place in item)."""
+        run = 0
         seen: dict[int, int] = {}
         for p, q in sorted(hits):
             if seen.get(p - q, -1) >= p:
@@ -128,24 +181,23 @@ class Index:
                 z += 1
             seen[p - q] = p + z - self.piece
             run = max(run, a + z)
-        if run >= self.words:
-            return run, 0
-        if not self.errors:
-            return None
+        return run
+
+    def windows(self, doc: list[str], hits: list[tuple[int, int]], item: list[str]) -> Iterator[tuple[str, str]]:
+        """The windows of the item that a hit is a piece of, each with the part of the document around it. Windows with
+        more unlike words than the errors can spoil are left out: an error spoils two words at most."""
         tried = set()
-        least = self.words - 2 * self.errors  # an error spoils two words at most
+        least = self.words - 2 * self.errors
         for p, q in hits:
-            for back in range(0, self.words - self.piece + 1, self.piece):
+            for back in range(0, self.words - self.piece + 1, self.step):
                 s = q - back
                 if s < 0 or s + self.words > len(item) or (s, p - q) in tried:
                     continue
                 tried.add((s, p - q))
                 near = doc[max(0, p - back - self.errors) : p - back + self.words + self.errors]
                 here = set(near)
-                if sum(w in here for w in item[s : s + self.words]) < least:
-                    continue
-                best = min(best, myers(" ".join(item[s : s + self.words]), " ".join(near), self.errors))
-        return (run, best) if best <= self.errors else None
+                if sum(w in here for w in item[s : s + self.words]) >= least:
+                    yield " ".join(item[s : s + self.words]), " ".join(near)
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", words: int = 12, errors: int = 1, block: int = 32 << 20) -> DataFrame:
@@ -181,7 +233,17 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", ite
                 hits: dict[tuple[int, int], list[tuple[int, int]]] = {}
                 for r, p, n, q in ix.find(ids, starts):
                     hits.setdefault((r, n), []).append((p, q))
-                got = [(r, n, v) for (r, n), places in hits.items() if (v := ix.verify(docs_words[r], places, ix.texts[n]))]
+                owner, patterns, texts = [], [], []
+                for (r, n), places in hits.items():
+                    for pattern, near in ix.windows(docs_words[r], places, ix.texts[n]):
+                        owner.append((r, n))
+                        patterns.append(pattern)
+                        texts.append(near)
+                best: dict[tuple[int, int], int] = {}
+                for who, distance in zip(owner, myers_all(patterns, texts).tolist(), strict=True):
+                    if distance <= errors:
+                        best[who] = min(distance, best.get(who, distance))
+                got = [(r, n, (ix.run(docs_words[r], hits[r, n], ix.texts[n]), distance)) for (r, n), distance in best.items()]
                 keys = batch.column(0).take(pa.array([r for r, _, _ in got], pa.int64()))
                 found = pa.array([ix.ids[n] for _, n, _ in got], table["i"].type)
                 yield pa.RecordBatch.from_arrays([keys, found, pa.array([v[0] for *_, v in got], pa.int32()), pa.array([v[1] for *_, v in got], pa.int32())], names=["d", "i", "exact_words", "distance"])

@@ -74,7 +74,7 @@ def p6_forms(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     got = leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), words=12, errors=1)
-    return got.where("exact_words >= 12").select("doc_id", "item_id")
+    return got.where("distance = 0 and exact_words >= 12").select("doc_id", "item_id")
 
 
 def p7_near(spark: SparkSession, d: str) -> DataFrame:

@@ -22,6 +22,9 @@ def test_myers():
     for _ in range(400):
         p, t = ("".join(rng.choice("abc") for _ in range(rng.randint(1, n))) for n in (90, 120))
         assert L.myers(p, t, 200) == edit(p, t)
+    pairs = [("".join(rng.choice("abcé") for _ in range(rng.randint(0, n))) for n in (150, 90)) for _ in range(300)]
+    p, t = map(list, zip(*pairs, strict=True))
+    assert L.myers_all(p, t).tolist() == [edit(a, b) for a, b in zip(p, t, strict=True)] and not len(L.myers_all([], []))
     assert L.myers("abc", "xyz", 1) == 2 and L.myers("", "x", 0) == 0
 
 
@@ -57,6 +60,25 @@ def test_exact_runs_against_brute_force(spark, errors):
     assert {(r["doc_id"], r["item_id"]) for r in blocks.collect()} == got
 
 
+@pytest.mark.parametrize("errors", [1, 2])
+def test_planted_near_windows_are_all_found(spark, errors):
+    rng = random.Random(errors)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(16))) for k in range(20)]
+    docs, want = [], set()
+    for k in range(300):
+        n, text = rng.choice(items)
+        a = rng.randint(0, 4)
+        t = " ".join(text.split()[a : a + 12])
+        for _ in range(errors):  # a character changed, left out, put in, or a space
+            i = rng.randrange(len(t))
+            t = t[:i] + rng.choice(["", "x", " ", t[i] + "q"]) + t[i + 1 :]
+        docs.append((k, f"{' '.join(rng.choices(words, k=9))} {t} {' '.join(rng.choices(words, k=9))}"))
+        want.add((k, n))
+    got = L.leaked_items(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string"), words=12, errors=errors)
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} >= want
+
+
 def test_near_copies_and_dirt(spark):
     item = "one two three four five six seven eight nine ten eleven twelve"
     docs = [(1, item.replace("three", "thre").upper()), (2, item.replace("three", "tree").replace("ten", "tan")), (3, None), (4, ""), (None, item), (5, "x " * 100_000 + item), (5, item)]
