@@ -1,9 +1,10 @@
 """Items that appear together: exact pair counts by a blocked Gram matrix, and how far they are above chance.
 
-Records are taken in blocks.  A block is two binary sparse matrices, records by left items and records by right items;
-the product of the first, transposed, with the second holds the block's pair counts.  Products are made in tiles of
-bounded size, summed within the task, and only the sums of non-zero cells are shuffled.  Counts of single items come out
-of the same pass.
+Records are taken in blocks.  A block is two binary sparse matrices, records by left items and records by right items.
+The first is transposed (its entries are put in the order of the items), and the product with the second is made for one
+block of left items after another, each bounded by its work, and handed on at once; so neither a basket of very many
+items nor an item in very many baskets is held expanded.  Spark adds up the blocks of a task before the shuffle, and of
+all tasks after it.  Counts of single items come out of the same pass.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..session import stored
 
-TILE = 1 << 21  # cells made at a time
+TILE = 1 << 21  # products made at a time
 HELD = 1 << 20  # distinct pairs a task holds before it hands them on
 
 
@@ -37,33 +38,36 @@ def _sparse(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, key % width, value.dictionary
 
 
-def gram(ls: np.ndarray, li: np.ndarray, rs: np.ndarray, ri: np.ndarray, right: int) -> tuple[np.ndarray, np.ndarray]:
-    """Non-zero cells of left' x right over the records: cell numbers (left item * right + right item) and counts."""
-    a, b = np.diff(ls), np.diff(rs)
-    wide = a > 0
-    # one line for each left entry, as wide as its record's right side; tiles of bounded size
-    line_rec = np.repeat(np.arange(len(a)), a)
-    width = b[line_rec]
+def gram(ls: np.ndarray, li: np.ndarray, rs: np.ndarray, ri: np.ndarray, right: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Non-zero cells of left' x right over the records, in blocks of whole left items: cell numbers (left item * right
+    + right item), ascending, and counts."""
+    by_item = np.argsort(li, kind="stable")  # left', an item a line
+    item, record = li[by_item], np.repeat(np.arange(len(ls) - 1), np.diff(ls))[by_item]
+    begin, width = rs[record], np.diff(rs)[record]
     ends = np.cumsum(width)
-    cells: list[np.ndarray] = []
-    counts: list[np.ndarray] = []
+    lines = np.append(np.flatnonzero(np.diff(item)) + 1, len(item))  # where each item's line ends
     at = 0
-    del wide
-    while at < len(line_rec):
+    while at < len(item):
         base = ends[at - 1] if at else 0
-        z = max(at + 1, int(np.searchsorted(ends, base + TILE, "right")))
-        w = width[at:z]
-        line = np.repeat(np.arange(at, z), w)
-        inner = np.arange(len(line)) - np.repeat(np.cumsum(w) - w, w)
-        cell = li[line] * right + ri[rs[line_rec[line]] + inner]
-        c, n = np.unique(cell, return_counts=True)
-        cells.append(c)
-        counts.append(n)
+        fit = int(np.searchsorted(ends, base + TILE, "right"))
+        whole = np.searchsorted(lines, fit, "right")
+        z = int(lines[whole - 1]) if whole and lines[whole - 1] > at else int(lines[np.searchsorted(lines, at, "right")])
+        if ends[z - 1] - base <= TILE:
+            cell = np.repeat(item[at:z] * right, width[at:z]) + ri[_ranges(begin[at:z], width[at:z])]
+            yield np.unique(cell, return_counts=True)
+        else:  # one item, in parts
+            total = np.zeros(right, np.int64)
+            for a in range(at, z):
+                row = ri[begin[a] : begin[a] + width[a]]
+                total[row] += 1  # a record has an item once
+            some = np.flatnonzero(total)
+            yield item[at] * right + some, total[some]
         at = z
-    if not cells:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    c, back = np.unique(np.concatenate(cells), return_inverse=True)
-    return c, np.bincount(back, weights=np.concatenate(counts)).astype(np.int64)
+
+
+def _ranges(begin: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1, ... of each range, one range after the other."""
+    return np.arange(int(width.sum())) + np.repeat(begin - (np.cumsum(width) - width), width)
 
 
 def pair_counts(records: DataFrame, key: str, left: Column, right: Column, version: str | None = None, ordered: bool = True) -> tuple[DataFrame, int]:
@@ -91,8 +95,8 @@ def pair_counts(records: DataFrame, key: str, left: Column, right: Column, versi
         if not both.any():
             return
         width = len(right_items)
-        cell, n = gram(ls, li, rs, ri, width)
-        yield out(0, left_items.take(pa.array(cell // width)), right_items.take(pa.array(cell % width)), n)
+        for cell, n in gram(ls, li, rs, ri, width):
+            yield out(0, left_items.take(pa.array(cell // width)), right_items.take(pa.array(cell % width)), n)
         for kind, starts, ids, items in ((1, ls, li, left_items), (2, rs, ri, right_items)):
             n = np.bincount(ids[np.repeat(both, np.diff(starts))], minlength=len(items))
             yield out(kind, items, pa.nulls(len(items), items.type), n)

@@ -60,6 +60,13 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select(F.col("a").alias("cur_word"), F.col("b").alias("next_word"), "n", "n_a", "n_b", "tied")
 
 
+def p5_baskets(spark: SparkSession, d: str) -> DataFrame:
+    """Parts that stand together in the own set of a record: unordered pairs of a basket."""
+    t = table(spark, d, "signatures").where("c is not null")
+    pairs, _ = cooccur.pair_counts(t, "rec_id", F.col("c"), F.col("c"), "loaded_at", ordered=False)
+    return pairs.toDF("part_a", "part_b", "n", "n_a", "n_b")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     lines = textform.look_alikes(table(spark, d, "small_corpus"), "line_id", "text")
     t = table(spark, d, "tokens").where(F.col("tok_id").isNotNull())
@@ -98,7 +105,7 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (p1_found, p2_found, p2_links, p3_found, p3_values, p3_ngrams, p5_found, p5_pairs, p6_found, p6_forms, p7_found, p7_near, p8_mix, p8_shares, p9_found, p9_sources)
+    found = (p1_found, p2_found, p2_links, p3_found, p3_values, p3_ngrams, p5_found, p5_pairs, p5_baskets, p6_found, p6_forms, p7_found, p7_near, p8_mix, p8_shares, p9_found, p9_sources)
     return {f.__name__: f for f in found}
 
 
@@ -116,10 +123,27 @@ select a as cur_word, b as next_word, n, n_a, n_b, n >= 5 and n >= 0.002 * total
 from p join x using (a) join y using (b), total"""
 
 
+BASKETS = """
+with r as (select list_distinct(arg_max(c, loaded_at)) as c from signatures where rec_id is not null and c is not null group by rec_id),
+  e as (select row_number() over () as k, c from r where len(c) > 0), x as (select k, unnest(c) as i from e), one as (select i, count(*) as n from x group by 1)
+select a.i as part_a, b.i as part_b, count(*) as n, any_value(u.n) as n_a, any_value(v.n) as n_b
+from x a join x b on a.k = b.k and a.i < b.i join one u on u.i = a.i join one v on v.i = b.i group by 1, 2"""
+GRAMS = f"""
+with t as (select tok_id, m.doc_id as d, m.tok_pos as p, m.tok_type as ty, m.tok_value as v from {ONE_TOKEN.replace("struct_pack(", "struct_pack(tok_pos := tok_pos, ")}),
+  w as (select d, case when ty is not null and v is not null then ty::varchar || ':' || v end as g,
+    row_number() over (partition by d order by coalesce(p, 0), tok_id) as k from t),
+  n as (select d, 1 as n, g as gram from w where g is not null
+    union all select a.d, 2, a.g || '|' || b.g from w a join w b on a.d = b.d and b.k = a.k + 1 where a.g is not null and b.g is not null
+    union all select a.d, 3, a.g || '|' || b.g || '|' || c.g from w a join w b on a.d = b.d and b.k = a.k + 1 join w c on c.d = a.d and c.k = a.k + 2 where a.g is not null and b.g is not null and c.g is not null)
+select n::int as n, gram, count(*) as occurrences, count(distinct d) as records from n group by 1, 2"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": f"select tok_type, tok_value, mark from ({VALUES}) where mark is not null",
         "p3_values": VALUES,
+        "p3_ngrams": GRAMS,
+        "p5_baskets": BASKETS,
         "p5_found": f"select cur_word, next_word from ({PAIRS}) where tied",
         "p5_pairs": PAIRS,
     }

@@ -1,11 +1,12 @@
 """How often every distinct value, and every run of values, occurs, and in how many records.
 
-Each task builds a suffix array over the token sequences of its records: suffixes are sorted by their first tokens, and
-the common prefix of neighbours splits them into intervals, one for each distinct n-gram.  The length of an interval is
-the number of occurrences.  Where the suffixes of one record follow one another in its own suffix array with a common
-prefix of n or more, they repeat an n-gram within the record; taking those adjacencies off leaves the number of
-records.  Records lie whole in one task, so both numbers add up over tasks, and only one row for each n-gram and task
-is shuffled: a value that makes up a third of all tokens costs no more than any other.
+Each task builds a suffix array over the token sequences of its records, by prefix doubling until no two suffixes are
+alike, and the common prefix of every two neighbours, of any length, from the ranks of the doublings.  The common
+prefixes split the array into intervals: for every n, one for each distinct n-gram, whose length is the number of
+occurrences.  Where the suffixes of one record follow one another in its own suffix array with a common prefix of n or
+more, they repeat an n-gram within the record; taking those adjacencies off leaves the number of records.  Records lie
+whole in one task, so both numbers add up over tasks, and only one row for each n-gram and task is shuffled: a value
+that makes up a third of all tokens costs no more than any other.
 
 Records longer than a piece are cut into pieces with an overlap; their n-grams carry the record, so that it is counted
 once all the same.
@@ -22,52 +23,69 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def suffix_order(ids: np.ndarray, record: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of sequences laid end to end, by their first tokens and then by record; and columns of those tokens.
+class Suffixes:
+    """The suffix array of sequences laid end to end.
 
-    ids: the tokens as numbers from 1; record: the number of each token's record, ascending. Column k holds the token
-    k places on, 0 past the record's end.
+    ids: the tokens as numbers from 1; record: the number of each token's record, ascending. No suffix goes beyond its
+    record. levels[k] ranks the suffixes by their first 2**k tokens.
     """
-    n = len(ids)
-    ahead = np.zeros((most, n), np.int64)
-    for k in range(most):
-        ahead[k, : n - k] = np.where(record[k:] == record[: n - k], ids[k:], 0)
-    order = np.lexsort((np.arange(n), record, *ahead[::-1]))
-    return order, ahead
-
-
-def common_prefix(order: np.ndarray, ahead: np.ndarray) -> np.ndarray:
-    """Tokens each suffix has in common with the one before it in the order, up to the number of columns."""
-    lcp = np.zeros(len(order), np.int64)
-    going = np.ones(max(0, len(order) - 1), bool)
-    for column in ahead:
-        c = column[order]
-        going &= (c[1:] == c[:-1]) & (c[1:] != 0)
-        lcp[1:] += going
-    return lcp
-
-
-def gram_counts(ids: np.ndarray, record: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For n = 1 to most: n, a place where each distinct n-gram occurs, its occurrences, its records."""
+
+    def __init__(self, ids: np.ndarray, record: np.ndarray) -> None:
+        n = len(ids)
+        ends = np.append(np.flatnonzero(record[1:] != record[:-1]) + 1, n)
+        self.record, self.left = record, np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n)  # tokens to the end
+        rank = ids.astype(np.int64)
+        self.levels = [rank]
+        h, longest = 1, int(self.left.max(initial=0))
+        while h < longest:
+            second = np.zeros(n, np.int64)
+            second[: n - h] = np.where(self.left[: n - h] > h, rank[h:], 0)
+            made, rank = np.unique(rank * (int(rank.max()) + 1) + second, return_inverse=True)
+            self.levels.append(rank + 1)
+            rank = self.levels[-1]
+            h *= 2
+            if len(made) == n:
+                break
+        self.order = np.argsort(rank, kind="stable")  # like suffixes by record
+        self.own = np.lexsort((rank, record))  # each record's own suffix array
+
+    def common_prefix(self, order: np.ndarray) -> np.ndarray:
+        """Tokens each suffix has in common with the one before it in the order."""
+        lcp = np.zeros(len(order), np.int64)
+        if len(order) < 2:
+            return lcp
+        a, b = order[:-1], order[1:]
+        most = np.minimum(self.left[a], self.left[b])
+        got = np.zeros(len(a), np.int64)
+        for k in range(len(self.levels) - 1, -1, -1):
+            on = np.flatnonzero(got < most)
+            x, y = a[on] + got[on], b[on] + got[on]
+            got[on] += np.where(self.levels[k][x] == self.levels[k][y], 1 << k, 0)
+        lcp[1:] = np.minimum(got, most)
+        return lcp
+
+
+def gram_counts(ids: np.ndarray, record: np.ndarray, most: int | None = None, counted: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For n = 1 to most (to the longest record by default): n, a place where each distinct n-gram occurs, its
+    occurrences, its records. counted: only occurrences that begin at these places count, and n-grams that have one."""
     if not len(ids):
         return
-    order, ahead = suffix_order(ids, record, most)
-    lcp = common_prefix(order, ahead)
-    own = np.lexsort((np.arange(len(ids)), *ahead[::-1], record))  # each record's own suffix array
-    near = common_prefix(own, ahead)
-    near[1:][record[own[1:]] != record[own[:-1]]] = 0
-    for n in range(1, most + 1):
-        whole = ahead[n - 1][order] != 0
+    s = Suffixes(ids, record)
+    lcp, near = s.common_prefix(s.order), s.common_prefix(s.own)
+    near[1:][record[s.own[1:]] != record[s.own[:-1]]] = 0
+    longest = int(s.left.max())
+    for n in range(1, longest + 1 if most is None else min(most, longest) + 1):
+        whole = s.left[s.order] >= n
         new = np.flatnonzero((lcp < n) & whole)  # an interval begins
-        if not len(new):
-            continue
         group = np.cumsum((lcp < n) & whole) - 1
         at = np.empty(len(ids), np.int64)
-        at[order] = group  # the interval of each suffix
+        at[s.order] = group  # the interval of each suffix
+        if counted is not None:
+            whole &= counted[s.order]
         occurs = np.bincount(group[whole], minlength=len(new))
-        again = own[(near >= n)]
-        records = occurs - np.bincount(at[again], minlength=len(new))
-        yield n, order[new], occurs, records
+        records = np.bincount(at[s.order[s.left[s.order] >= n]], minlength=len(new)) - np.bincount(at[s.own[near >= n]], minlength=len(new))
+        ok = occurs > 0
+        yield n, s.order[new][ok], occurs[ok], records[ok]
 
 
 def value_counts(tokens: DataFrame, key: str, record: str, position: str, columns: list[str], version: str | None = None, most: int = 1, piece: int = 1 << 16) -> DataFrame:
@@ -161,16 +179,16 @@ def _count(table: pa.Table, most: int, schema: T.StructType) -> Iterator[pa.Reco
             for n, at, occurs, records in _gapped(ids, seq, most):
                 yield _batch(n, at, occurs, records, ids, words.dictionary, None, table, pick)
         else:
-            for n, at, occurs, records in gram_counts(ids[keep], seq[keep], 1):
+            for n, at, occurs, records in gram_counts(ids[keep], seq[keep], most):
                 yield _batch(n, at, occurs, records, ids[keep], words.dictionary, None, table, pick)
 
 
-def _gapped(ids: np.ndarray, seq: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _gapped(ids: np.ndarray, seq: np.ndarray, most: int, counted: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     gap = ids == 0
     if not gap.any():
-        yield from gram_counts(ids, seq, most)
+        yield from gram_counts(ids, seq, most, counted)
         return
-    for n, at, occurs, records in gram_counts(np.where(gap, ids.max() + 1, ids), seq, most):
+    for n, at, occurs, records in gram_counts(np.where(gap, ids.max() + 1, ids), seq, most, counted):
         ok = np.ones(len(at), bool)
         for k in range(n):
             ok &= ~gap[at + k]
@@ -181,20 +199,14 @@ def _gapped(ids: np.ndarray, seq: np.ndarray, most: int) -> Iterator[tuple[int,
 def _pieces(table: pa.Table, pick: np.ndarray, ids: np.ndarray, seq: np.ndarray, own: np.ndarray, homeless: np.ndarray, words: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
     if homeless.any():
         at = homeless & (ids > 0)
-        for n, first, occurs, _ in gram_counts(ids[at], np.zeros(int(at.sum()), np.int64), 1):
-            yield _batch(n, first, occurs, np.zeros_like(occurs), ids[at], words, None, table, pick)
-    for s in np.unique(seq[~homeless]):
-        here = np.flatnonzero((seq == s) & ~homeless)
-        i, mine = ids[here], own[here]
-        for n, at, occurs, _ in _gapped(i, np.zeros(len(i), np.int64), most):
-            if not mine.all():  # n-grams that begin in the overlap belong to the next piece
-                late = np.flatnonzero(~mine)
-                extra = np.zeros(len(at), np.int64)
-                for j, a in enumerate(at):
-                    extra[j] = sum(1 for x in late if x + n <= len(i) and (i[x : x + n] == i[a : a + n]).all())
-                occurs = occurs - extra
-                at, occurs = at[occurs > 0], occurs[occurs > 0]
-            yield _batch(n, at, occurs, np.ones_like(occurs), i, words, pick[here[0]], table, pick)
+        one = ids[at]
+        for n, first, occurs, _ in gram_counts(one, np.arange(len(one)), 1):
+            yield _batch(n, first, occurs, np.zeros_like(occurs), one, words, None, table, pick)
+    rest = np.flatnonzero(~homeless)
+    for here in np.split(rest, np.flatnonzero(np.diff(seq[rest])) + 1) if len(rest) else ():
+        # n-grams that begin in the overlap belong to the next piece
+        for n, at, occurs, _ in _gapped(ids[here], np.zeros(len(here), np.int64), most, own[here]):
+            yield _batch(n, at, occurs, np.ones_like(occurs), ids[here], words, pick[here[0]], table, pick)
 
 
 def _batch(n: int, at: np.ndarray, occurs: np.ndarray, records: np.ndarray, ids: np.ndarray, words: pa.Array, row: int | None, table: pa.Table, pick: np.ndarray) -> pa.RecordBatch:

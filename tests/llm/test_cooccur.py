@@ -28,13 +28,26 @@ def test_tiles_add_up():
     sizes = rng.integers(0, 5, 200)
     s = np.concatenate(([0], np.cumsum(sizes)))
     i = np.concatenate([rng.choice(9, k, replace=False) for k in sizes])
-    whole = C.gram(s, i, s, i, 9)
-    tile, C.TILE = C.TILE, 7
+    dense = np.zeros((200, 9), np.int64)
+    dense[np.repeat(np.arange(200), sizes), i] = 1
+    want = dense.T @ dense
+    tile = C.TILE
     try:
-        small = C.gram(s, i, s, i, 9)
+        for C.TILE in (tile, 200, 7):
+            parts = list(C.gram(s, i, s, i, 9))
+            got = np.zeros(81, np.int64)
+            for cell, n in parts:
+                got[cell] += n
+            assert (got.reshape(9, 9) == want).all() and (C.TILE == tile) == (len(parts) == 1)
+            assert len(np.concatenate([c for c, _ in parts])) == (want > 0).sum()  # a cell comes once
     finally:
         C.TILE = tile
-    assert all((a == b).all() for a, b in zip(whole, small, strict=True))
+
+
+def test_one_basket_of_many_items(spark):
+    df = spark.createDataFrame([(1, list(range(1500))), (2, [3, 4])], "k long, items array<int>")
+    pairs, total = C.pair_counts(df, "k", F.col("items"), F.col("items"), ordered=False)
+    assert total == 2 and pairs.count() == 1500 * 1499 // 2 and [r["a"] for r in pairs.where("n = 2").collect()] == [3]
 
 
 def test_ties(spark):

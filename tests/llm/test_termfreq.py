@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import itertools
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,7 +52,27 @@ def made(seed, n=400, docs=6):
     return rows + rng.sample(rows, 20) + [(None, 1, 0, 0, "a", 0, "x"), (n, 1, None, None, "a", 0, "x")]
 
 
-@pytest.mark.parametrize("most", [1, 3])
+@pytest.mark.parametrize("seed", range(6))
+def test_suffix_array_with_common_prefixes_of_any_length(seed):
+    rng = np.random.default_rng(seed)
+    seqs = [rng.integers(1, 2 + seed, rng.integers(1, 40)).tolist() for _ in range(12)] + [[1] * 70]
+    ids, record = np.concatenate(seqs), np.repeat(np.arange(13), [len(x) for x in seqs])
+    s = Q.Suffixes(ids, record)
+    suffix = [tuple(x[i:]) for x in seqs for i in range(len(x))]
+    assert [suffix[k] for k in s.order] == sorted(suffix)
+    common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    assert s.common_prefix(s.order).tolist() == [0] + [common(suffix[a], suffix[b]) for a, b in itertools.pairwise(s.order)]
+    occurs, records = Counter(), defaultdict(set)
+    for r, x in enumerate(seqs):
+        for n in range(1, len(x) + 1):
+            for i in range(len(x) - n + 1):
+                occurs[tuple(x[i : i + n])] += 1
+                records[tuple(x[i : i + n])].add(r)
+    got = {tuple(ids[a : a + n].tolist()): (int(o), int(c)) for n, at, os, cs in Q.gram_counts(ids, record) for a, o, c in zip(at, os, cs, strict=True)}
+    assert got == {g: (c, len(records[g])) for g, c in occurs.items()}
+
+
+@pytest.mark.parametrize("most", [1, 3, 9])
 def test_against_brute_force(spark, most):
     rows = made(1)
     assert run(spark, rows, most) == brute(rows, most)
