@@ -67,11 +67,22 @@ def p5_baskets(spark: SparkSession, d: str) -> DataFrame:
     return pairs.toDF("part_a", "part_b", "n", "n_a", "n_b")
 
 
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    """Each Word token once."""
+    t = table(spark, d, "tokens").where(F.col("tok_id").isNotNull())
+    return t.groupBy("tok_id").agg(F.max(F.struct("loaded_at", "doc_id", "tok_type", "tok_value")).alias("m")).select("tok_id", "m.*").where("tok_type = 0")
+
+
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The rows that look like a row with another string, by class."""
+    lines = textform.look_alike_classes(table(spark, d, "small_corpus"), "line_id", "text")
+    words = textform.look_alike_classes(_words(spark, d), "tok_id", "tok_value", "doc_id")
+    return lines.toDF("id", *lines.columns[1:]).select(F.lit("small_corpus").alias("tab"), "*").union(words.select(F.lit("tokens").alias("tab"), "*"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     lines = textform.look_alikes(table(spark, d, "small_corpus"), "line_id", "text")
-    t = table(spark, d, "tokens").where(F.col("tok_id").isNotNull())
-    t = t.groupBy("tok_id").agg(F.max(F.struct("loaded_at", "doc_id", "tok_type", "tok_value")).alias("m")).select("tok_id", "m.*").where("tok_type = 0")
-    words = textform.look_alikes(t, "tok_id", "tok_value", "doc_id")
+    words = textform.look_alikes(_words(spark, d), "tok_id", "tok_value", "doc_id")
     return lines.select(F.lit("small_corpus").alias("tab"), "*").union(words.select(F.lit("tokens").alias("tab"), "*"))
 
 
@@ -105,7 +116,7 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (p1_found, p2_found, p2_links, p3_found, p3_values, p3_ngrams, p5_found, p5_pairs, p5_baskets, p6_found, p6_forms, p7_found, p7_near, p8_mix, p8_shares, p9_found, p9_sources)
+    found = (p1_found, p2_found, p2_links, p3_found, p3_values, p3_ngrams, p5_found, p5_pairs, p5_baskets, p6_found, p6_classes, p6_forms, p7_found, p7_near, p8_mix, p8_shares, p9_found, p9_sources)
     return {f.__name__: f for f in found}
 
 

@@ -23,11 +23,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 # Letters of other scripts and the Latin letter they look like.
 LOOKALIKES = (
-    ("Cyrillic", "АВЕЗКМНОРСТУХІЈЅԌԚԜҮаесорухіјѕһԁԛԝүӏ", "ABE3KMHOPCTYXIJSGQWYaecopyxijshdqwyl"),
+    ("Cyrillic", "АВЕКМНОРСТУХІЈЅԌԚԜҮаесорухіјѕһԁԛԝүӏ", "ABEKMHOPCTYXIJSGQWYaecopyxijshdqwyl"),
     ("Greek", "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγινορυϲϳ", "ABEZHIKMNOPTYXayivopucj"),
     ("Armenian", "ՕՍօոսհց", "OUonuhg"),
+    ("Cherokee", "ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᎽᏀᏃᏒᏔᏙᏚᏞᏟᏢᏦᏴ", "DRTiAJEWMHYGZRWVSLCPKB"),
 )
 # Spaces as wide as the ordinary one or narrower, and the hyphens.
 SPACES = (0x00A0, 0x2004, 0x2005, 0x2006, 0x2008, 0x2009, 0x200A, 0x202F, 0x205F)
@@ -99,8 +102,7 @@ class Tables:
         self.alike = np.arange(_TOP, dtype=np.uint32)
         for _, other, latin in LOOKALIKES:
             for a, b in zip(other, latin, strict=True):
-                if not b.isdigit():
-                    self.alike[ord(a)] = ord(b)
+                self.alike[ord(a)] = ord(b)
         keys = np.array(sorted(compose), np.int64)
         self.keys, self.made = keys, np.array([compose[k] for k in keys.tolist()], np.uint32)
         self.second = np.zeros(_TOP, bool)  # can stand second in a composition
@@ -300,6 +302,20 @@ def consistent_form(text: Column) -> Column:
     return form(text)
 
 
+def _mixed(rows: DataFrame, key: str, value: str, within: str | None) -> DataFrame:
+    """Rows (__w, __f, __v, __k) of the forms that more than one string has.
+
+    The form is computed once for every row and kept as a hash; only rows of hashes that different strings have are
+    looked at again, and get the form itself.
+    """
+    w = F.col(within) if within else F.lit(0)
+    a = rows.select(w.alias("__w"), F.col(key).alias("__k"), F.col(value).alias("__v")).where("__k is not null and __v is not null and __w is not null")
+    a = stored(a.withColumn("__h", F.xxhash64(consistent_form(F.col("__v")))), "forms")
+    several = a.groupBy("__w", "__h").agg(F.min("__v").alias("lo"), F.max("__v").alias("hi")).where("lo < hi").select("__w", "__h")
+    again = a.join(several, ["__w", "__h"], "left_semi").withColumn("__f", consistent_form(F.col("__v")))
+    return stored(again.select("__w", "__f", "__v", "__k"), "mixed")
+
+
 def look_alikes(rows: DataFrame, key: str, value: str, within: str | None = None) -> DataFrame:
     """Pairs (id_a, id_b), id_a < id_b, of rows that look the same but whose strings differ.
 
@@ -307,17 +323,23 @@ def look_alikes(rows: DataFrame, key: str, value: str, within: str | None = None
     empty text is a text like any other, and equal strings are no pair. Other columns are ignored, so their names may
     clash with anything. An empty table gives no pairs.
 
-    Only forms that some row's string differs from can hold a pair. Those keys are found first, and only their rows
-    are joined: strings with strings first, then with the rows that hold them, so that a form repeated in many equal
-    strings never meets itself.
+    Only forms that several strings have can hold a pair. Strings are joined with strings first, then with the rows that
+    hold them, so that a form repeated in many equal strings never meets itself. look_alike_classes() names the classes
+    instead of the pairs.
     """
-    group = [F.col(within).alias("__w")] if within else [F.lit(0).alias("__w")]
-    a = rows.select(F.col(key).alias("__k"), F.col(value).alias("__v"), *group).where("__k is not null and __v is not null and __w is not null")
-    a = a.withColumn("__f", consistent_form(F.col("__v")))
-    odd = a.where("__v <> __f").select("__w", "__f").distinct()
-    a = a.join(odd, ["__w", "__f"], "left_semi")
+    a = _mixed(rows, key, value, within)
     forms = a.select("__w", "__f", "__v").distinct()
     pairs = forms.join(forms.select("__w", "__f", F.col("__v").alias("__v2")), ["__w", "__f"]).where("__v < __v2").drop("__f")
     left = pairs.join(a.select("__w", "__v", "__k"), ["__w", "__v"])
     both = left.join(a.select("__w", F.col("__v").alias("__v2"), F.col("__k").alias("__k2")), ["__w", "__v2"])
     return both.select(F.least("__k", "__k2").alias("id_a"), F.greatest("__k", "__k2").alias("id_b"))
+
+
+def look_alike_classes(rows: DataFrame, key: str, value: str, within: str | None = None) -> DataFrame:
+    """Rows (key, form, class_id, links) of the rows that look_alikes() pairs: their form, the number of the class that
+    all of this form (and within) share, and in how many pairs the row is. Nothing is expanded into pairs."""
+    a = _mixed(rows, key, value, within)
+    by_value = a.groupBy("__w", "__f", "__v").agg(F.count(F.lit(1)).alias("n"))
+    links = by_value.groupBy("__w", "__f").agg(F.sum("n").alias("all")).join(by_value, ["__w", "__f"])
+    links = links.where("all > n").select("__w", "__f", "__v", (F.col("all") - F.col("n")).alias("links"))
+    return a.join(links, ["__w", "__f", "__v"]).select(F.col("__k").alias(key), F.col("__f").alias("form"), F.xxhash64("__w", "__f").alias("class_id"), "links")

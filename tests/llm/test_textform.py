@@ -50,6 +50,14 @@ def test_pairs(spark):
     assert got == {(1, 2), (2, 3), (6, 7), (6, 8), (9, 10), (11, 12)}
     assert {tuple(r) for r in X.look_alikes(df, "id_a", "v", "id_b").collect()} == {(1, 2), (2, 3), (6, 7), (9, 10)}
     assert X.look_alikes(df.limit(0), "id_a", "v").count() == 0
+    classes = {r["id_a"]: (r["class_id"], r["links"]) for r in X.look_alike_classes(df, "id_a", "v").collect()}
+    links = {k: sum(k in p for p in got) for k in {x for p in got for x in p}}
+    assert {k: n for k, (_, n) in classes.items()} == links and len({c for c, _ in classes.values()}) == 4
+    assert X.look_alike_classes(df.limit(0), "id_a", "v").count() == 0
+
+
+def test_look_alikes_of_several_scripts():
+    assert [X.form_text(t) for t in ("ТОР", "TОР", "aԁd", "Ꮯat", "ᏣᎳᎩ", "З1a")] == ["ТОР", "TOP", "add", "Cat", "ᏣᎳᎩ", "З1a"]
 
 
 def test_a_heavy_form_makes_no_cross_product(spark):
