@@ -111,7 +111,8 @@ class Tables:
         whole = np.zeros(_TOP, bool)
         whole[self.made] = True  # comes apart and together again, if its letter is not exchanged
         whole[self.multi] &= self.alike[self.pool[self.first[self.multi]]] == self.pool[self.first[self.multi]]
-        self.plain = ((self.width == 1) | whole) & (self.alike == np.arange(_TOP)) & (self.ccc == 0) & ~self.second
+        alone = (self.alike == np.arange(_TOP)) & (self.ccc == 0) & ~self.second
+        self.plain = ((self.width == 1) | whole) & alone & alone[self.simple]
 
     def _to(self, c: int, to: int) -> None:
         self.width[c], self.simple[c] = 1, to
