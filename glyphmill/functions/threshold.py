@@ -22,15 +22,19 @@ def _cap(values: Column, most: int | None) -> Column:
     return n if most is None else F.least(F.lit(max(most, 1)), n)
 
 
+def effective_count(values: Column) -> Column:
+    """The number of equal values that would have the entropy of these positive ones."""
+    total = F.aggregate(values, _d(0), lambda s, v: s + v)
+    plain = F.aggregate(values, _d(0), lambda s, v: s - v * F.ln(v))
+    return F.exp(F.ln(total) + plain / total)
+
+
 def entropy_count(values: Column, most: int | None = None) -> Column:
     """The number of equal values that would have the entropy of the positive head, rounded up."""
     tail = F.array_position(F.transform(values, lambda v: (v > 0).cast("int")), 0)
     head = F.when(tail == 0, F.size(values)).otherwise(tail - 1).cast("int")
     head = F.least(head, _cap(values, most))
-    cut = F.slice(values, 1, head)
-    total = F.aggregate(cut, _d(0), lambda s, v: s + v)
-    plain = F.aggregate(cut, _d(0), lambda s, v: s - v * F.ln(v))
-    effective = F.exp(F.ln(total) + plain / total)
+    effective = effective_count(F.slice(values, 1, head))
     return F.when(head <= 0, 0).otherwise(F.when(effective > 1, F.least(F.ceil(effective).cast("int"), head)).otherwise(1))
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bytestr import DELIMITER, END, LETTER, MID, START, WHOLE, kind_name
+from .ordering import placed
 
 SCHEMA = "part_id int, kind int, value string"
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
@@ -48,8 +49,8 @@ def add(dictionary: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
     fresh = new.join(dictionary.select("kind", "value"), ["kind", "value"], "left_anti")
     first = fresh.groupBy("kind", "value").agg(F.min(F.struct(*order)).alias("__o"))
     size = dictionary.agg(F.coalesce(F.max("part_id") + 1, F.lit(0))).scalar()
-    ids = (F.row_number().over(Window.orderBy("__o", "kind", "value")) - 1).cast("int")
-    return dictionary.select("part_id", "kind", "value").unionByName(first.select((size + ids).cast("int").alias("part_id"), "kind", "value"))
+    ids = placed(first, [], [F.asc("__o"), F.asc("kind"), F.asc("value")])
+    return dictionary.select("part_id", "kind", "value").unionByName(ids.select((size + F.col("place")).cast("int").alias("part_id"), "kind", "value"))
 
 
 def lookup(rows: DataFrame, dictionary: DataFrame, out: str = "part_id") -> DataFrame:
@@ -76,6 +77,20 @@ def with_atoms(parts: list[Part]) -> list[Part]:
     return list(dict.fromkeys([*parts, *atoms()]))
 
 
+def atom_column(kind: Column, value: Column) -> Column:
+    """is_atom() as a column."""
+    one = F.length(value) == 1
+    mark = value.isin(*CONNECTORS)
+    return (kind == LETTER) | (one & (((kind == WHOLE) & (value.isin(*LETTERS) | mark)) | ((kind == DELIMITER) & mark)))
+
+
+def listed_column(kind: Column, value: Column) -> Column:
+    """listed_value() as a column."""
+    before = F.when(kind.isin(END, MID), "##").otherwise("")
+    after = F.when(kind.isin(START, MID), "##").otherwise("")
+    return F.concat(before, value, after)
+
+
 def listed_value(kind: int, value: str) -> str:
     """How a part of a word is written, ## where the word goes on."""
     return {START: f"{value}##", MID: f"##{value}##", END: f"##{value}"}.get(kind, value)

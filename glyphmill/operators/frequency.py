@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import threshold
@@ -34,15 +34,23 @@ def ranked(freq: DataFrame, group: list[str], value: str = "value", weight: str
     return got.withColumn("rank", F.col("rank") + 1)
 
 
+def ranked_head(rows: DataFrame, group: list[str], value: str = "value", weight: str = "freq") -> DataFrame:
+    """The rows that pruned() keeps, with their rank from 1. One range sort serves the ranks and the cut."""
+    all_ = ranked(rows, group, value, weight)
+    cut = threshold.grouped_cuts(all_, group, weight).select(*group, "k")
+    return all_.join(cut, group).where(F.col("rank") <= F.col("k")).drop("k")
+
+
 def pruned(rows: DataFrame, group: list[str], value: str = "value", weight: str = "freq") -> DataFrame:
     """The rows that the adaptive cut of their group keeps: the heaviest, of equal ones the least values.
 
-    Whole runs of equal weights are kept or left by comparison; only a run that the cut divides is put in order.
+    Whole runs of equal weights are kept or left by comparison; only a run that the cut divides is put in order, by all
+    tasks together, as it can hold most of a vocabulary.
     """
     cut = threshold.grouped_cuts(rows, group, weight)
     met = rows.join(cut, group)
     w = F.col(weight).cast("double")
     whole = met.where((w > F.col("at")) | ((w == F.col("at")) & (F.col("need") == F.col("run"))))
     part = met.where((w == F.col("at")) & (F.col("need") < F.col("run")))
-    part = part.withColumn("__r", F.row_number().over(Window.partitionBy(*group).orderBy(value))).where("__r <= need").drop("__r")
+    part = placed(part, group, [F.asc(value)], "__r").where("__r < need").drop("__r")
     return whole.unionByName(part).drop("k", "at", "need", "run")

@@ -86,9 +86,23 @@ def section_nodes_of(segments: DataFrame, key: str = "doc_id") -> DataFrame:
     rows = rows.withColumn("last", F.last(F.when(header, F.col("seg_idx")), True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     opens = ~header & (F.col("has_blank_line_before") | F.lag(header).over(w) | F.lag("seg_idx").over(w).isNull())
     rows = rows.withColumn("paragraph", F.when(~header, F.sum(opens.cast("int")).over(w)))
-    heads = rows.where(header).select(key, F.col("seg_idx").alias("h"), F.col("level").alias("hl"))
-    mine = rows.where(header).select(key, "seg_idx", "level")
-    near = mine.join(heads, key).where("h < seg_idx and hl < level").groupBy(key, "seg_idx").agg(F.max("h").alias("up"))
+
+    @F.arrow_udf("array<struct<seg_idx:int,up:int>>")
+    def above(a: pa.Array) -> pa.Array:
+        rows = []
+        for listed in a.to_pylist():
+            open_: list[tuple[int, int]] = []  # level and place of the headers still open
+            found = []
+            for h in listed:
+                while open_ and open_[-1][0] >= h["level"]:
+                    open_.pop()
+                found.append((h["seg_idx"], open_[-1][1] if open_ else None))
+                open_.append((h["level"], h["seg_idx"]))
+            rows.append(found)
+        return _arrow(rows, ("seg_idx", "up"), [pa.int32()] * 2)
+
+    heads = rows.where(header).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seg_idx", "level"))).alias("h"))
+    near = heads.select(key, F.explode(above(F.col("h"))).alias("x")).select(key, "x.*")
     return rows.join(near, [key, "seg_idx"], "left").select(key, "seg_idx", F.when(header, F.col("up")).otherwise(F.col("last")).alias("owner"), "paragraph")
 
 
@@ -133,12 +147,13 @@ def content_sections(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
                 down = [*chain, mine] if mine is not None else chain
                 sections = [k["node_id"] for k in kids.get(i, []) if k["node_type"] == "section"]
                 plain = [s for s in sections if head(s) is None]
+                place = {s: i for i, s in enumerate(plain)} if len(plain) > 1 else {}
                 steps = []
                 for s in sections:
                     if head(s) is not None:
                         steps.append((s, down, under, None))
                     else:
-                        steps.append((s, chain, mine if mine is not None else under, plain.index(s) if len(plain) > 1 else None))
+                        steps.append((s, chain, mine if mine is not None else under, place.get(s)))
                 todo += steps[::-1]
             rows.append(found)
             del nodes_

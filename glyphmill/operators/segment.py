@@ -34,7 +34,7 @@ PROTECTED = tuple(
 # One token of a numbering, what parts two of them, what comes before and after.
 _TOKEN = r"(?:[0-9]+|[IVXLCDM]{2,7}|[ivxlcdm]{2,7}|[A-Za-z])"
 _PART = rf"[.)\-/:](?![{WS}]*[.)\-/:])[{WS}]*"
-NUMBERING = re.compile(rf"[{WS}]*[(§]?[{WS}]*(?:{_TOKEN}{_PART})+(?:{_TOKEN})?[{WS}]*[.):]?[{WS}]+")
+NUMBERING = re.compile(rf"(?P<prefix>[{WS}]*[(§]?[{WS}]*(?P<body>(?:{_TOKEN}{_PART})+(?:{_TOKEN})?)[{WS}]*[.):]?)[{WS}]+")
 _COUNTED = re.compile(rf"{_TOKEN}(?=[.)\-/:{WS}]|$)")
 # Words too common to stand for a range.
 STOP_WORDS = frozenset(
@@ -45,6 +45,7 @@ STOP_WORDS = frozenset(
     "giving".split()
 )
 BLANK = "\t\n\x0b\x0c\r "
+BLANKS = re.compile(f"[{BLANK}]*")
 STOPS = re.compile(r"[\n\x0b\x0c\r!.;?]")
 TRIM = BLANK + "!,.:;?"
 RULE = re.compile(r"([*+\-=_~])\1{2,}")
@@ -74,11 +75,8 @@ def masked(text: str) -> str:
 def numbering(text: str) -> tuple[int, str, int] | None:
     """Levels, prefix and length of an ordered prefix such as '1.2 ' or '(a) ', if the text has one."""
     m = NUMBERING.match(text)
-    if not m:
-        return None
-    inner = re.sub(rf"[{WS}]*[.):]?[{WS}]*$", "", re.sub(rf"^[{WS}]*[(§]?[{WS}]*", "", m.group()))
-    tokens = _COUNTED.findall(inner)
-    return (len(tokens), re.sub(rf"[{WS}]+$", "", m.group()), m.end()) if tokens else None
+    levels = len(_COUNTED.findall(m["body"].rstrip(".):"))) if m else 0
+    return (levels, re.sub(rf"[{WS}]+$", "", m["prefix"]), m.end()) if levels else None
 
 
 def pieces(text: str, headers: bool = False) -> list[Piece]:
@@ -95,8 +93,7 @@ def pieces(text: str, headers: bool = False) -> list[Piece]:
     for stop in [*(m.start() for m in STOPS.finditer(hidden, left, right)), right]:
         body = hidden[at:stop] if stop == right else hidden[at:stop].rstrip(BLANK)
         s, e = at, at + len(body)
-        at = min(stop + 1, right)
-        at += len(hidden[at:right]) - len(hidden[at:right].lstrip(BLANK))
+        at = BLANKS.match(hidden, min(stop + 1, right), right).end()
         if not body:
             continue
         if RULE.fullmatch(body):

@@ -57,19 +57,30 @@ def peel(words: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return runs.select("word", "freq").distinct(), new.orderBy(F.desc("len"), turn, F.desc("freq"), "value").select("kind", "value")
 
 
+def _listed(rows: DataFrame, most: int) -> list[Part]:
+    """The (kind, value) rows in their order, on the driver; raises if there are more than that, and cuts nothing."""
+    got = rows.limit(max(0, most) + 1).collect()
+    if len(got) > max(0, most):
+        raise ValueError("the dictionary has more parts than most_parts allows")
+    return [(r["kind"], r["value"]) for r in got]
+
+
 def train(word_freq: DataFrame, delimiter_freq: DataFrame, longest_whole: int = 16, letters: bool = True, most_passes: int = 20, most_parts: int = 1_000_000) -> Trained:
     """A dictionary from (value, freq) rows of words and of delimiters.
 
     Frequent whole words come first, then the atoms, the delimiters by frequency, and the parts each pass adds. The
-    dictionary lives on the driver and may hold at most most_parts parts; words stay distributed. Empty input gives
+    dictionary lives on the driver and may hold at most most_parts parts, else ValueError is raised; words stay
+    distributed. Empty input gives
     the atoms and connectors alone.
     """
     spark = word_freq.sparkSession
     words = stored(word_freq.where("value <> ''").select(F.col("value").alias("word"), F.col("freq").cast("long")), "words")
     some = words.where(F.length("word").between(2, longest_whole)).select(F.lit(WHOLE).alias("kind"), F.col("word").alias("value"), "freq")
     wholes = frequency.pruned(some, ["kind"]).orderBy(F.desc("freq"), "value")
-    seed: list[Part] = [(WHOLE, r["value"]) for r in wholes.select("value").limit(most_parts).collect()]
-    marks = [(DELIMITER, r["value"]) for r in delimiter_freq.where("value <> ''").orderBy(F.desc("freq"), "value").select("value").limit(most_parts).collect()]
+    wholes = _listed(wholes.select(F.lit(WHOLE).alias("kind"), "value"), most_parts)
+    seed: list[Part] = wholes
+    by_freq = delimiter_freq.where("value <> ''").orderBy(F.desc("freq"), "value")
+    marks = _listed(by_freq.select(F.lit(DELIMITER).alias("kind"), "value"), most_parts - len(seed))
     atoms = [p for p in dictionary.atoms() if p[0] != DELIMITER] if letters else []
     parts = list(dict.fromkeys([*seed, *atoms, *marks, *((DELIMITER, c) for c in CONNECTORS)]))
     passes = 0
@@ -79,10 +90,8 @@ def train(word_freq: DataFrame, delimiter_freq: DataFrame, longest_whole: int =
         if left.isEmpty():
             break
         passes += 1
-        added = [(r["kind"], r["value"]) for r in new.collect()]
+        added = _listed(new, most_parts - len(parts))
         if not added:
             break
         parts += added
-        if len(parts) > most_parts:
-            raise ValueError(f"the dictionary has more than {most_parts} parts")
     return Trained(parts, passes)

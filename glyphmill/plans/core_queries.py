@@ -12,8 +12,8 @@ from ..functions import intervals as R
 from ..functions import sparse as P
 from ..functions import threshold as A
 from ..functions.register import register
-from ..operators import decompose, dictionary, frequency, sections, segment, signature, tokenize, train
-from ..session import shared_folder, spread
+from ..operators import decompose, dictionary, frequency, sections, segment, signature, skew, tokenize, train
+from ..session import shared_folder, spread, stored
 from ..sources import dictionaries, sig2
 from ..streaming import frequency as streaming
 from . import pipelines
@@ -78,11 +78,14 @@ def text_totals(s: SparkSession, d: str) -> DataFrame:
     return frequency.totals(tokenize.tokenize(table(s, d, "documents")))
 
 
-TOKENS = "(select tok_type, tok_value as value, count(*) as freq from tokens where tok_value is not null and tok_value <> '' group by 1, 2)"
+ONE_TOKEN = "(select m.* from (select arg_max(struct_pack(tok_type := tok_type, tok_value := tok_value), loaded_at) as m from tokens where tok_id is not null group by tok_id))"
+TOKENS = f"(select tok_type, tok_value as value, count(*) as freq from {ONE_TOKEN} where tok_value is not null and tok_value <> '' group by 1, 2)"
 
 
 def _token_freq(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "tokens").where("tok_value is not null and tok_value <> ''").groupBy("tok_type", F.col("tok_value").alias("value")).agg(F.count(F.lit(1)).alias("freq"))
+    """Frequencies of the values by type, each token once."""
+    one = skew.once(table(s, d, "tokens"), "tok_id", ["tok_type", "tok_value"], "loaded_at")
+    return one.where("tok_value is not null and tok_value <> ''").groupBy("tok_type", F.col("tok_value").alias("value")).agg(F.count(F.lit(1)).alias("freq"))
 
 
 @query(f"select tok_type, value, freq, row_number() over (partition by tok_type order by freq desc, value) as rank from {TOKENS}")
@@ -129,9 +132,7 @@ select e.k as l_orderkey, round(exp(h), 6) as effective, case when m.top is null
 def entropy_and_gap(s: SparkSession, d: str) -> DataFrame:
     v = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_quantity"), False).alias("v"))
     x = F.col("v")
-    total = F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
-    h = F.ln(total) + F.aggregate(x, F.lit(0.0), lambda a, b: a - b * F.ln(b)) / total
-    return v.select("l_orderkey", F.round(F.exp(h), 6).alias("effective"), A.gap_count(x).alias("gap"))
+    return v.select("l_orderkey", F.round(A.effective_count(x), 6).alias("effective"), A.gap_count(x).alias("gap"))
 
 
 @query()
@@ -208,13 +209,14 @@ def stop_words(s: SparkSession, d: str) -> DataFrame:
 
 # ---- sparse sets
 
-ONE_SIGNATURE = "(select rec_id, any_value(list_sort(list_distinct(coalesce(l, [])))) as a, any_value(list_sort(list_distinct(coalesce(c, [])))) as c, any_value(list_sort(list_distinct(coalesce(r, [])))) as b from signatures group by rec_id)"
+ONE_SIGNATURE = """(select rec_id, list_sort(list_distinct(coalesce(m.l, []))) as a, list_sort(list_distinct(coalesce(m.c, []))) as c, list_sort(list_distinct(coalesce(m.r, []))) as b, m.scale, m.cur_word, m.next_word
+  from (select rec_id, arg_max(struct_pack(l := l, c := c, r := r, scale := scale, cur_word := cur_word, next_word := next_word), loaded_at) as m from signatures where rec_id is not null group by rec_id))"""
 
 
 def _sets(s: SparkSession, d: str) -> DataFrame:
     """rec_id and the sets a (left), c (own), b (right), each record once."""
-    t = table(s, d, "signatures").select("rec_id", *[P.as_set(F.col(x)).alias(y) for x, y in (("l", "a"), ("c", "c"), ("r", "b"))])
-    return t.dropDuplicates(["rec_id"])
+    t = skew.once(table(s, d, "signatures"), "rec_id", ["l", "c", "r"], "loaded_at")
+    return t.select("rec_id", *[P.as_set(F.col(x)).alias(y) for x, y in (("l", "a"), ("c", "c"), ("r", "b"))])
 
 
 def _text(ids) -> F.Column:
@@ -298,11 +300,8 @@ def grown_dictionary(s: SparkSession, d: str) -> DataFrame:
   case part_kind when 0 then part_value || '##' when 2 then '##' || part_value || '##' when 1 then '##' || part_value else part_value end as line from part_dict"""
 )
 def dictionary_lines(s: SparkSession, d: str) -> DataFrame:
-    one = F.length("value") == 1
-    marks = F.col("value").isin(*dictionary.CONNECTORS)
-    atom = (F.col("kind") == B.LETTER) | (one & (((F.col("kind") == B.WHOLE) & F.col("value").isin(*dictionary.LETTERS, *dictionary.CONNECTORS)) | ((F.col("kind") == B.DELIMITER) & marks)))
-    line = F.when(F.col("kind") == B.START, F.concat("value", F.lit("##"))).when(F.col("kind") == B.MID, F.concat(F.lit("##"), "value", F.lit("##"))).when(F.col("kind") == B.END, F.concat(F.lit("##"), "value")).otherwise(F.col("value"))
-    return _parts(s, d).select("part_id", atom.alias("atom"), line.alias("line"))
+    kind, value = F.col("kind"), F.col("value")
+    return _parts(s, d).select("part_id", dictionary.atom_column(kind, value).alias("atom"), dictionary.listed_column(kind, value).alias("line"))
 
 
 @query("select part_kind::int as kind, part_value as value from part_dict where part_kind <> 3")
@@ -408,19 +407,14 @@ def signature_records(s: SparkSession, d: str) -> DataFrame:
     return got.select(*SCOPE, "word_pos", "cur_word", "next_word", *[_text(F.col(x)).alias(x.lower()) for x in "LCR"])
 
 
-@query(f"select rec_id, scale::int as scale, cur_word, next_word, array_to_string(a, ',') as l, array_to_string(c, ',') as c, array_to_string(b, ',') as r from {ONE_SIGNATURE} join (select rec_id, any_value(scale) as scale, min(cur_word) as cur_word, min(next_word) as next_word from signatures group by 1) using (rec_id)")
+@query(f"select rec_id, scale::int as scale, cur_word, word, next_word, array_to_string(a, ',') as l, array_to_string(c, ',') as c, array_to_string(b, ',') as r from {ONE_SIGNATURE} left join vocab on cur_word = word_id")
 def signature_files(s: SparkSession, d: str) -> DataFrame:
-    """The records written to SIG2 files and read again."""
+    """The records and the vocabulary written to SIG2 files and read again."""
     path = f"{shared_folder(s)}/sig2-{uuid.uuid4().hex}"
-    folder = path.removeprefix("file://")
-    import os
-
-    os.makedirs(folder, exist_ok=True)
-    t = table(s, d, "signatures")
-    once = t.groupBy("rec_id").agg(F.first("scale").alias("scale"), F.min("cur_word").alias("cur_word"), F.min("next_word").alias("next_word"))
-    sets = _sets(s, d).toDF("rec_id", "L", "C", "R")
-    rows = once.join(sets, "rec_id").select(F.col("rec_id").alias("idx"), "scale", "cur_word", "next_word", "L", "C", "R")
-    sig2.write(rows, [], 2000, folder)
+    once = skew.once(table(s, d, "signatures"), "rec_id", ["scale", "cur_word", "next_word", "l", "c", "r"], "loaded_at")
+    rows = once.select(F.col("rec_id").alias("idx"), F.col("scale").cast("int").alias("scale"), "cur_word", "next_word", *[P.as_set(F.col(x.lower())).alias(x) for x in "LCR"])
+    rows = stored(rows, "records")
+    sig2.write(rows, table(s, d, "vocab"), 2000, path)
     numbers = rows.select(F.col("idx").alias("rec_id"), F.struct("scale", "cur_word", "next_word", "L", "C", "R").alias("x"))
     back = sig2.read(s, path)
     got = back.select("scale", "cur_word", "next_word", *[_text(F.col(x)).alias(x.lower()) for x in "LCR"])
@@ -429,7 +423,8 @@ def signature_files(s: SparkSession, d: str) -> DataFrame:
     cols = ["scale", "cur_word", "next_word", "l", "c", "r"]
     on = [F.col(f"g.{c}").eqNullSafe(F.col(f"n.{c}")) for c in (*cols, "i")]
     g, n = got.withColumn("i", F.row_number().over(w)).alias("g"), same.withColumn("i", F.row_number().over(w)).alias("n")
-    return g.join(n, on).select("n.rec_id", *[F.col(f"g.{c}").alias(c) for c in cols])
+    words = sig2.read_words(s, path).groupBy(F.col("word_id").alias("cur_word")).agg(B.from_byte_string(F.first("word")).alias("word"))
+    return g.join(n, on).select("n.rec_id", *[F.col(f"g.{c}").alias(c) for c in cols]).join(words, "cur_word", "left")
 
 
 # ---- segments and trees
@@ -579,10 +574,9 @@ def _streamed(s: SparkSession, d: str, text: Column) -> DataFrame:
 
     path = f"{d}/documents.parquet"
     stream = s.readStream.schema(schema).parquet(path) if os.path.isdir(path) else s.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
-    name = f"words_{uuid.uuid4().hex}"
-    q = streaming.start(stream.select("doc_id", text.alias("text")), f"{shared_folder(s)}/{name}", name)
-    q.awaitTermination()
-    return s.table(name)
+    folder = f"{shared_folder(s)}/words-{uuid.uuid4().hex}"
+    streaming.start(stream.select("doc_id", text.alias("text")), folder).awaitTermination()
+    return streaming.latest(s, folder)
 
 
 @query(f"select lower(w) as value, count(*) as freq from (select unnest(regexp_extract_all({LETTERS}, '[A-Za-z]+')) as w from documents) group by 1")

@@ -27,7 +27,7 @@ def decomposed(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", text
 def top_words(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The frequent words that the adaptive cut keeps: (rank, word, freq)."""
     freq = frequency.frequencies(tokenize.tokenize(docs, key, text), tokenize.WORD).withColumn("kind", F.lit(0))
-    kept = frequency.ranked(frequency.pruned(stored(freq, "frequencies"), ["kind"]), ["kind"])
+    kept = frequency.ranked_head(freq, ["kind"])
     return kept.select("rank", from_byte_string(F.col("value")).alias("word"), "freq")
 
 

@@ -9,6 +9,7 @@ import struct
 
 from ..functions.bytestr import DELIMITER, END, MID, START, WHOLE, unescape_text
 from ..operators.dictionary import Part, is_atom, listed_value, with_atoms
+from ..session import file_system
 
 MAGIC, VERSION = b"BDI2", 1  # fixed values
 SECTION, MARK = "[delim]", "##"
@@ -94,11 +95,13 @@ def from_bytes(data: bytes) -> list[Part]:
 def save(parts: list[Part], path: str, form: str = "text") -> None:
     """Writes one file; form is text or binary."""
     data = to_bytes(parts) if form == "binary" else to_text(parts).encode("latin-1")
-    with open(path, "wb") as f:
+    fs, at = file_system(path)
+    with fs.open_output_stream(at) as f:
         f.write(data)
 
 
 def load(path: str, form: str = "text") -> list[Part]:
-    with open(path, "rb") as f:
+    fs, at = file_system(path)
+    with fs.open_input_stream(at) as f:
         data = f.read()
     return from_bytes(data) if form == "binary" else from_text(data.decode("latin-1"))

@@ -12,7 +12,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.bytestr import to_byte_string
+from ..session import file_system
 
 MAGIC, VERSION = b"SIG2", 2  # fixed values
 BANDS = ("L", "C", "R")
@@ -58,24 +64,34 @@ class Dataset:
 
 def encode(data: Dataset) -> bytes:
     """The bytes of a dataset; words are byte strings."""
-    rows = data.records
-    out = [MAGIC, struct.pack("<BBHIII", VERSION, 0, 0, data.size, len(data.vocabulary), len(rows))]
-    for word in data.vocabulary:
+    columns = list(zip(*data.records, strict=True)) if data.records else [()] * 6
+    kinds = [pa.int32()] * 3 + [pa.list_(pa.int32())] * 3
+    return encode_columns(data.size, data.vocabulary, [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)])
+
+
+def encode_columns(size: int, vocabulary: list[str], columns: list[pa.Array]) -> bytes:
+    """The bytes of records given as Arrow columns: scale, cur_word, next_word, L, C, R."""
+    out = [MAGIC, struct.pack("<BBHIII", VERSION, 0, 0, size, len(vocabulary), len(columns[0]))]
+    for word in vocabulary:
         raw = word.encode("latin-1")
         if len(raw) > 0xFFFF:
             raise ValueError("a word is longer than 65535 bytes")
         out += [struct.pack("<H", len(raw)), raw]
-    out.append(bytes(r[0] for r in rows))
-    for column in (1, 2):
-        out.append(varints(np.array([0 if r[column] is None else r[column] + 1 for r in rows], np.int64)))
-    for column in (3, 4, 5):
-        sets = [np.asarray(r[column], np.int64) for r in rows]
-        out.append(varints(np.array([len(s) for s in sets], np.int64)))
-        out.append(varints(np.concatenate([np.diff(s, prepend=0) for s in sets]) if sets else np.zeros(0)))
+    out.append(np.asarray(columns[0].cast(pa.uint8())).tobytes())
+    for labels in columns[1:3]:
+        out.append(varints(np.asarray(labels.cast(pa.int64()).fill_null(-1)) + 1))
+    for band in columns[3:]:
+        n = np.asarray(pc.fill_null(pc.list_value_length(band), 0)).astype(np.int64)
+        ids = np.asarray(band.flatten()).astype(np.int64)
+        gaps = np.diff(ids, prepend=0)
+        first = (np.cumsum(n) - n)[n > 0]
+        gaps[first] = ids[first]
+        out += [varints(n), varints(gaps)]
     return b"".join(out)
 
 
-def decode(raw: bytes) -> Dataset:
+def decode_columns(raw: bytes) -> tuple[int, list[str], list[pa.Array]]:
+    """The size, the words, and the records as Arrow columns, see encode_columns()."""
     if raw[:4] != MAGIC:
         raise ValueError("this is no SIG2 file")
     if raw[4] != VERSION:
@@ -88,56 +104,102 @@ def decode(raw: bytes) -> Dataset:
         vocabulary.append(raw[at + 2 : at + 2 + length].decode("latin-1"))
         at += 2 + length
     data = np.frombuffer(raw, np.uint8)
-    scale, at = data[at : at + n].tolist(), at + n
-    labels = []
+    columns, at = [pa.array(data[at : at + n].astype(np.int32))], at + n
     for _ in range(2):
         v, at = read_varints(data, at, n)
-        labels.append([None if x == 0 else x - 1 for x in v.tolist()])
-    bands = []
+        columns.append(pa.array((v - 1).astype(np.int32), mask=v == 0))
     for _ in BANDS:
         pop, at = read_varints(data, at, n)
         gaps, at = read_varints(data, at, int(pop.sum()))
         edge = np.concatenate(([0], np.cumsum(pop)))
         run = np.cumsum(gaps)
         base = np.repeat(np.concatenate(([0], run))[edge[:-1]], pop)
-        ids = run - base
-        bands.append([ids[a:z].tolist() for a, z in zip(edge[:-1], edge[1:], strict=True)])
-    return Dataset(size, vocabulary, list(zip(scale, *labels, *bands, strict=True)))
+        columns.append(pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array((run - base).astype(np.int32))))
+    return size, vocabulary, columns
+
+
+def decode(raw: bytes) -> Dataset:
+    size, vocabulary, columns = decode_columns(raw)
+    return Dataset(size, vocabulary, list(zip(*(c.to_pylist() for c in columns), strict=True)))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (path, idx, scale, cur_word, next_word, L, C, R, size) of all files under the path, a task a file."""
+    """Rows (path, idx, scale, cur_word, next_word, L, C, R, size) of all files under the path, a task a file or more."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), *[pa.int32()] * 4, *[pa.list_(pa.int32())] * 3, pa.int32()]
         names = ["path", "idx", "scale", "cur_word", "next_word", *BANDS, "size"]
         for batch in batches:
-            for where, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = decode(content)
-                for a in range(0, len(got.records), 10_000):
-                    some = got.records[a : a + 10_000]
-                    cols = [[where] * len(some), range(a, a + len(some)), *zip(*some, strict=True), [got.size] * len(some)]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=names)
+            for where, content in zip(batch.column(0), batch.column(1), strict=True):
+                size, _, columns = decode_columns(content.as_py())
+                n = len(columns[0])
+                idx, sizes = pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, size, np.int32))
+                got = pa.RecordBatch.from_arrays([pa.array([where.as_py()] * n, pa.string()), idx, *columns, sizes], names=names)
+                yield from (got.slice(a, 10_000) for a in range(0, n, 10_000))
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(part, SCHEMA)
 
 
-def write(records: DataFrame, vocabulary: list[str], size: int, folder: str) -> int:
-    """A SIG2 file for each partition of the records (idx, scale, cur_word, next_word, L, C, R); returns their number.
+def read_words(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (path, word_id, word) of the vocabularies of all files under the path; words are byte strings."""
 
-    The folder must be one that all executors share.
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for where, content in zip(batch.column(0), batch.column(1), strict=True):
+                _, words, _ = decode_columns(content.as_py())
+                n = len(words)
+                yield pa.RecordBatch.from_arrays([pa.array([where.as_py()] * n, pa.string()), pa.array(np.arange(n, dtype=np.int32)), pa.array(words, pa.string())], names=["path", "word_id", "word"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(part, "path string, word_id int, word string")
+
+
+def listed_words(vocabulary: DataFrame, most: int = 1_000_000) -> list[str]:
+    """The words of (word_id, word) rows with ids dense from 0, as byte strings; every file holds them all, so a
+    vocabulary of more than `most` words is refused."""
+    rows = vocabulary.select("word_id", to_byte_string(F.col("word")).alias("word")).orderBy("word_id").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the vocabulary has more than {most} words")
+    if [r["word_id"] for r in rows] != list(range(len(rows))):
+        raise ValueError("the ids of the words are not dense from 0")
+    return [r["word"] for r in rows]
+
+
+def write(records: DataFrame, vocabulary: list[str] | DataFrame, size: int, folder: str, per_file: int = 100_000) -> int:
+    """SIG2 files of at most per_file of the records (idx, scale, cur_word, next_word, L, C, R); returns their number.
+
+    The folder must be one that all executors share; it is reached by its URL. A file's name tells the partition and
+    the place in it, and a file appears whole or not at all, so a task that is run again leaves the same files. The
+    records of a partition stand in the order of idx.
     """
+    words = vocabulary if isinstance(vocabulary, list) else listed_words(vocabulary)
+    shared = records.sparkSession.sparkContext.broadcast(words)
+    file_system(folder)[0].create_dir(file_system(folder)[1], recursive=True)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-        import uuid
-
-        rows = [t for b in batches for t in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        fs, at = file_system(folder)
+        task = TaskContext.get()
+        made = 0
+
+        def save(held: list[pa.RecordBatch]) -> None:
+            table = pa.Table.from_batches(held).combine_chunks()
+            name = f"{at}/part-{task.partitionId():05d}-{made:05d}.sig2"
+            with fs.open_output_stream(f"{name}.{task.taskAttemptId()}.tmp") as f:
+                f.write(encode_columns(size, shared.value, [c.combine_chunks() for c in table.columns]))
+            fs.move(f"{name}.{task.taskAttemptId()}.tmp", name)
+
+        held, rows = [], 0
+        for batch in batches:
+            while batch.num_rows:
+                some = batch.slice(0, per_file - rows)
+                held.append(some)
+                rows += some.num_rows
+                batch = batch.slice(some.num_rows)
+                if rows == per_file:
+                    save(held)
+                    made, held, rows = made + 1, [], 0
         if rows:
-            rows.sort(key=lambda r: r[0])
-            with open(os.path.join(folder, f"{uuid.uuid4().hex}.sig2"), "wb") as f:
-                f.write(encode(Dataset(size, vocabulary, [r[1:] for r in rows])))
-        yield pa.RecordBatch.from_arrays([pa.array([int(bool(rows))], pa.int32())], names=["n"])
+            save(held)
+            made += 1
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.int32())], names=["n"])
 
-    done = records.select("idx", "scale", "cur_word", "next_word", *BANDS).mapInArrow(part, "n int")
-    return sum(r["n"] for r in done.collect())
+    ordered = records.sortWithinPartitions("idx").select("scale", "cur_word", "next_word", *BANDS)
+    return ordered.mapInArrow(part, "n int").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
