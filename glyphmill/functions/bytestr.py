@@ -38,6 +38,12 @@ def number_prefix(text: Column) -> Column:
     return F.length(F.regexp_extract(text, r"^((?:[-+][$]?|[$]))(?=[0-9])", 1))
 
 
+def number_prefix_at(text: Column, pos: Column) -> Column:
+    """number_prefix() at a place from 0; 0 too where a letter or digit stands right before it."""
+    before = F.when(pos > 0, F.substring(text, pos, F.lit(1))).otherwise("")
+    return F.when(before.rlike("[A-Za-z0-9]"), 0).otherwise(number_prefix(F.substring(text, pos + 1, F.lit(3))))
+
+
 def whitespace_class(run: Column) -> Column:
     """What a run of white space stands for: two line feeds, one, a blank, or a tab."""
     feeds = F.length(run) - F.length(F.replace(run, F.lit("\n"), F.lit("")))

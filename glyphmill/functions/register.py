@@ -7,8 +7,33 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 
+@F.udtf(returnType="pos: int, type: tinyint, value: string")
+class TokenRows:
+    """gm_token_rows(text): a row for each token."""
+
+    def eval(self, text: str):
+        from glyphmill.operators.tokenize import walk
+
+        if text is not None:
+            for pos, (kind, value) in enumerate(walk(text.encode("utf-8").decode("latin-1"))):
+                yield pos, kind, value
+
+
+@F.udtf(returnType="seg_idx: int, start: int, end: int")
+class SegmentRows:
+    """gm_segment_rows(text): a row for each segment."""
+
+    def eval(self, text: str):
+        from glyphmill.operators.segment import pieces
+
+        if text is not None:
+            for i, p in enumerate(pieces(text)):
+                yield i, p.start, p.end
+
+
 def register(spark: SparkSession) -> list[str]:
-    """Registers SQL functions and the Arrow functions of tokenizer and segmentation; returns their names."""
+    """Registers SQL functions, the Arrow functions of tokenizer and segmentation, and their table functions; returns
+    the names."""
     sql = {
         "gm_byte_string": ("s STRING", "STRING", "decode(encode(s, 'UTF-8'), 'ISO-8859-1')"),
         "gm_from_byte_string": ("s STRING", "STRING", "make_valid_utf8(cast(encode(s, 'ISO-8859-1') as string))"),
@@ -36,4 +61,6 @@ def register(spark: SparkSession) -> list[str]:
 
     spark.udf.register("gm_tokens", tokens)
     spark.udf.register("gm_segments", segments)
-    return [*sql, "gm_tokens", "gm_segments"]
+    spark.udtf.register("gm_token_rows", TokenRows)
+    spark.udtf.register("gm_segment_rows", SegmentRows)
+    return [*sql, "gm_tokens", "gm_segments", "gm_token_rows", "gm_segment_rows"]

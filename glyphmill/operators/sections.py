@@ -164,6 +164,36 @@ def content_sections(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     return packed.select(key, F.explode(run(F.col("n"))).alias("c")).select(key, "c.*")
 
 
+def direct_content(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows (key, node_id, child_id, ordinal, node_type, start, end): what each section holds itself, sections aside."""
+    own = nodes.where("node_type <> 'section' and parent_id is not null")
+    return own.select(key, F.col("parent_id").alias("node_id"), F.col("node_id").alias("child_id"), "ordinal", "node_type", "start", "end")
+
+
+def contents(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows (key, node_id, header_id, level, start, end): each section's header and level, those of the section around
+    it where it has none, and the range of its content past its own header (null if it is only a header)."""
+    inner = nodes.where("parent_id is not null").groupBy(key, F.col("parent_id").alias("node_id"))
+    first = (F.col("ordinal") == 0) & (F.col("node_type") == "header")
+    own = inner.agg(F.max(F.when(first, F.struct(F.col("node_id").alias("h"), "level"))).alias("own"), F.min(F.when(~first, F.col("start"))).alias("start"), F.max(F.when(~first, F.col("end"))).alias("end"))
+    sections_ = nodes.where("node_type = 'section'").select(key, "node_id", "parent_id").join(own, [key, "node_id"])
+
+    @F.arrow_udf("array<struct<node_id:int,header_id:int,level:int,start:int,end:int>>")
+    def inherit(a: pa.Array) -> pa.Array:
+        rows = []
+        for listed in a.to_pylist():
+            known: dict[int | None, tuple] = {None: (None, None)}
+            found = []
+            for n in listed:  # in pre-order, so a section's parent comes first
+                known[n["node_id"]] = (n["own"]["h"], n["own"]["level"]) if n["own"] else known.get(n["parent_id"], (None, None))
+                found.append((n["node_id"], *known[n["node_id"]], n["start"], n["end"]))
+            rows.append(found)
+        return _arrow(rows, ("node_id", "header_id", "level", "start", "end"), [pa.int32()] * 5)
+
+    packed = sections_.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("node_id", "parent_id", "own", "start", "end"))).alias("n"))
+    return packed.select(key, F.explode(inherit(F.col("n"))).alias("c")).select(key, "c.*")
+
+
 def paragraphs(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows (key, node_id, start, end) of sections that hold segments or a header but no section."""
     parents = nodes.where("node_type = 'section' and parent_id is not null").select(key, F.col("parent_id").alias("node_id")).distinct()
@@ -174,3 +204,9 @@ def outline(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows (key, node_id, line): each node in order, indented by its depth."""
     name = F.when(F.col("node_type") == "section", F.format_string("Section [%d, %d]", "start", "end")).when(F.col("node_type") == "header", F.format_string("Header [%d, %d]", "start", "end")).otherwise(F.format_string("Segment [%d, %d]", "start", "end"))
     return nodes.select(key, "node_id", F.concat(F.repeat(F.lit("  "), F.col("depth")), name).alias("line"))
+
+
+def outlines(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows (key, outline): the lines of outline() as one text for each document."""
+    lines = outline(nodes, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("node_id", "line"))).alias("n"))
+    return lines.select(key, F.array_join(F.transform("n", lambda x: x["line"]), "\n").alias("outline"))

@@ -272,6 +272,29 @@ def subsegments(docs: DataFrame, key: str = "doc_id", text: str = "text", header
     return docs.select(key, F.explode(run(F.col(text))).alias("s")).select(key, "s.*")
 
 
+def subsegments_of(ranges: DataFrame, by: list[str], text: str = "text", start: str = "start", end: str = "end", original: bool = False) -> DataFrame:
+    """Rows (by..., sub_idx, start, end, tier) of the ranges inside any ranges of texts: segments, sections, or others.
+
+    ranges has the text itself and its range in columns; by names the columns that tell the rows apart. A null text or
+    range, an empty or reversed one, gives nothing, and a range is cut at the text's ends. original also gives each
+    range itself, with tier -1 and first.
+    """
+
+    @F.arrow_udf(f"array<struct<sub_idx:int,{INNER[7:]}>")
+    def run(a: pa.Array, s: pa.Array, e: pa.Array) -> pa.Array:
+        rows = []
+        for t, x, z in zip(a.to_pylist(), s.to_pylist(), e.to_pylist(), strict=True):
+            if t is None or x is None or z is None or (x := max(x, 0)) >= (z := min(z, len(t))):
+                rows.append(None)
+                continue
+            found = [(i.start, i.end, i.tier) for i in inner_ranges(t, x, z)]
+            rows.append([(j, *r) for j, r in enumerate(([(x, z, -1)] if original else []) + found)])
+        return _arrow(rows, ("sub_idx", "start", "end", "tier"), [pa.int32()] * 4)
+
+    found = run(F.col(text), F.col(start).cast("int"), F.col(end).cast("int"))
+    return ranges.select(*by, F.explode(found).alias("__s")).select(*by, "__s.*")
+
+
 def protected_spans(text: Column) -> Column:
     """Array of the ranges in which no dot splits."""
 

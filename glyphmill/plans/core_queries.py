@@ -440,6 +440,15 @@ def inner_ranges(s: SparkSession, d: str) -> DataFrame:
     return segment.subsegments(table(s, d, "documents"), original=True)
 
 
+@query()
+def range_inner(s: SparkSession, d: str) -> DataFrame:
+    """Ranges inside the segments that an earlier run left, and inside the sections of the texts."""
+    t = table(s, d, "documents").select("doc_id", "text")
+    old = _clamped(s, d).select("doc_id", F.lit("segment").alias("of"), F.col("seg_idx").alias("n"), F.col("a.start").alias("start"), F.col("a.end").alias("end"))
+    nodes = sections.section_nodes(t).where("node_type = 'section'").select("doc_id", F.lit("section").alias("of"), F.col("node_id").alias("n"), "start", "end")
+    return segment.subsegments_of(old.union(nodes).join(t, "doc_id"), ["doc_id", "of", "n"], original=True)
+
+
 @query()
 def protected_spans(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", F.explode(segment.protected_spans(F.col("text"))).alias("p")).select("doc_id", "p.*")
@@ -508,6 +517,24 @@ def section_outline(s: SparkSession, d: str) -> DataFrame:
     return sections.outline(sections.section_nodes(table(s, d, "documents")))
 
 
+@query()
+def section_contents(s: SparkSession, d: str) -> DataFrame:
+    """Each section's header, its own or inherited, and the text of its content."""
+    t = table(s, d, "documents").select("doc_id", "text")
+    got = sections.contents(sections.section_nodes(t)).join(t, "doc_id")
+    return got.select("doc_id", "node_id", "header_id", "level", "start", "end", R.extract(F.col("text"), F.struct("start", "end")).alias("content"))
+
+
+@query()
+def direct_content(s: SparkSession, d: str) -> DataFrame:
+    return sections.direct_content(sections.section_nodes(table(s, d, "documents")))
+
+
+@query()
+def outlines(s: SparkSession, d: str) -> DataFrame:
+    return sections.outlines(sections.section_nodes(table(s, d, "documents")))
+
+
 @query()
 def paragraphs(s: SparkSession, d: str) -> DataFrame:
     return sections.paragraphs(sections.section_nodes(table(s, d, "documents")))
@@ -591,10 +618,31 @@ def streamed_tokens(s: SparkSession, d: str) -> DataFrame:
     return _streamed(s, d, F.col("text")).select("type", "value", "freq")
 
 
-@query(f"select rec_id, array_to_string(list_sort(list_intersect(a, b)), ',') as both from {ONE_SIGNATURE}")
+@query(
+    f"""select rec_id, array_to_string(list_sort(list_intersect(a, b)), ',') as both, array_to_string(list_sort(list_distinct(list_concat(a, b))), ',') as either,
+  array_to_string(list_sort(list_filter(list_distinct(list_concat(a, b)), lambda x: list_contains(a, x) <> list_contains(b, x))), ',') as one,
+  case when len(list_distinct(list_concat(a, b))) = 0 then 'NaN'::double else len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) end as jaccard from {ONE_SIGNATURE}"""
+)
 def sql_functions(s: SparkSession, d: str) -> DataFrame:
     register(s)
-    return _sets(s, d).select("rec_id", F.array_join(F.expr("cast(gm_and(a, b) as array<string>)"), ",").alias("both"))
+    text = lambda f, name: F.array_join(F.expr(f"cast({f}(a, b) as array<string>)"), ",").alias(name)
+    return _sets(s, d).select("rec_id", text("gm_and", "both"), text("gm_or", "either"), text("gm_xor", "one"), F.expr("gm_jaccard(a, b)").alias("jaccard"))
+
+
+@query("select doc_id, strlen(text) as bytes, text as again, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low from documents where text is not null")
+def sql_strings(s: SparkSession, d: str) -> DataFrame:
+    register(s)
+    t = table(s, d, "documents").where("text is not null")
+    return t.selectExpr("doc_id", "cast(length(gm_byte_string(text)) as bigint) as bytes", "gm_from_byte_string(gm_byte_string(text)) as again", "gm_ascii_lower(text) as low")
+
+
+@query()
+def sql_tables(s: SparkSession, d: str) -> DataFrame:
+    """Tokens and segments of all texts by the table functions."""
+    register(s)
+    table(s, d, "documents").select("doc_id", "text").createOrReplaceTempView("gm_texts")
+    tokens = s.sql("select doc_id, 'token' as what, pos, value from gm_texts, lateral gm_token_rows(text)")
+    return tokens.union(s.sql("select doc_id, 'segment', seg_idx, concat(start, ',', `end`) from gm_texts, lateral gm_segment_rows(text)"))
 
 
 def queries() -> dict:

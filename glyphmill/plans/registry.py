@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import core_queries, skew_queries
+from . import core_queries, golden_queries, skew_queries
 
-MODULES = (core_queries, skew_queries)
+MODULES = (core_queries, golden_queries, skew_queries)
 
 
 def queries() -> dict:

@@ -6,11 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from glyphmill.plans import registry
+from glyphmill.plans import golden_queries, registry
 
 SMALL = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data")
-QUICK = ("kind_names", "part_counts", "part_lookup", "cuts", "entropy_and_gap", "value_ranks", "pruned_values", "sparse_sets", "sparse_counts", "flat_signatures", "id_gaps", "next_words", "word_signatures", "near_signatures", "segment_headers", "segment_owners", "overlapping_segments", "p4_words")
+QUICK = ("kind_names", "part_counts", "part_lookup", "cuts", "entropy_and_gap", "value_ranks", "pruned_values", "sparse_sets", "sparse_counts", "flat_signatures", "id_gaps", "next_words", "word_signatures", "near_signatures", "segment_headers", "segment_owners", "overlapping_segments", "p4_words", "signature_files", "sql_strings", "sql_functions", *golden_queries.queries())
 
 
 def same(spark, name, folder=SMALL):
