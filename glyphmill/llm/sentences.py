@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .lexicon import BEFORE, COMMON, LAST, LETTER, LINES, LONGEST, WORD, Corpus, Lexicon, consulted, corpus_of, forms_of, small, stops
+from .lexicon import BEFORE, COMMON, LAST, LETTER, LINES, WORD, Corpus, Lexicon, consulted, corpus_of, forms_of, small, stops
 
 # Abbreviations before a name, a number or an example, which do not end a sentence; a prior only.
 SEED_BEFORE = frozenset(
@@ -69,7 +69,7 @@ class Document:
     def _look(self) -> None:
         """Words without a stop, those with one before a small letter or comma, and those with one at a paragraph's end."""
         self._plain, self._inside, self._final = Counter(WORD.findall(self.text)), Counter(), Counter()
-        for word, what in stops(self.text):
+        for word, what in stops(self.text, None):
             (self._final if what in ("end", "text") else self._inside)[word] += what != "big"
             self._plain[word] -= 1
         if m := LAST_WORD.search(self.text, max(0, len(self.text) - 40)):  # the text may be cut before its stop
@@ -122,7 +122,7 @@ class Document:
         """Whether the stop between the two words ends a sentence, as the document's other places tell; None if they
         don't. An ordinary word ends it. An abbreviation that can end sentences does so unless a name follows; any
         other goes on unless a common word follows."""
-        if len(word) < 2 or len(word) > 2 * LONGEST:
+        if len(word) < 2:
             return None
         if not self.abbreviation(word):
             return True if word.isalpha() and word.islower() and self.plain(word) else None
@@ -225,8 +225,6 @@ def _at_dot(text: str, a: int, b: int, st: int, i: int, e: int, doc: Document) -
     if not text[w].isalpha():  # a number or a sign
         return not (doc.known(tok) or (len(tok) == 1 and tok.isalpha()) or (DOTTED.fullmatch(tok) and tail.islower()))
     m = WORD.match(text, w, b)
-    if len(tok) > LONGEST and tok.isalpha() and not tok.isupper():  # too long for an abbreviation
-        return True
     if m and (said := doc.says(tok, m.group())) is not None:
         return said
     if _capitals(text, st, i, m) and not NUMBER.fullmatch(tok):

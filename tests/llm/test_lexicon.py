@@ -58,3 +58,64 @@ def test_the_filter_misses_nothing(docs):
     assert sum(X._maybe(lexicon.rest, f"no{k}") for k in range(1000)) < 5
     assert lexicon.told({"x": X.LAST}).kind("x") == X.LAST
     assert X.corpus_of(docs.limit(0)).lexicon.kinds == {}
+
+
+def test_words_of_any_length_count():
+    long = "x" * 5000
+    n = X.gather(__import__("pyarrow").array([f"Sometimes sometimes abbreviat. Vim, abbreviat. so.\n\nSeventh. An {long} and {long}.\n\nEnd of www.example.com, a3bcdefghi."]))
+    assert n["sometimes"] == (1, 0, 0, 0) and n["abbreviat"] == (2, 2, 1, 0) and n["Seventh"] == (1, 1, 0, 0)
+    assert n[long] == (2, 1, 0, 1) and "www.example.com" not in n and "bcdefghi" in n and n["bcdefghi"][1] == 0
+
+
+def test_word_before_of_any_length_agrees_with_the_short_one():
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choice("abcdefgh..  _3") for _ in range(rng.randint(0, 60)))
+        for m in X.STOP.finditer(text):
+            short, long = X.word_before(text, m.start()), X.word_before(text, m.start(), None)
+            if len(text[: m.start()].replace("_", " ").rpartition(" ")[2]) <= 2 * X.LONGEST + 1:  # all that the short one reads
+                assert short == (long if len(long) - long.count(".") <= X.LONGEST else "")
+
+
+def test_word_before_of_any_length_takes_linear_time():
+    import time
+
+    def took(n):
+        text = "ab " * n + "c" * n + ". " + "d" * n + " e. " * n
+        began = time.process_time()
+        assert sum(1 for _ in X.stops(text, None)) == n + 1
+        return time.process_time() - began
+
+    took(1000)
+    assert took(200_000) < 40 * took(20_000) + 0.5
+
+
+@pytest.mark.parametrize("top", [X.TOP, 1])
+def test_a_long_common_word_begins_a_sentence(spark, top):
+    rows = [(0, "She takes vitamin C. Sometimes it helps."), (1, "She met John C. Vandermeer again."), *((k, f"It sometimes rains in town {k}.") for k in range(2, 9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    corpus = X.corpus_of(docs, top=top)
+    got = [(r["doc_id"], r["seg_start"], r["seg_end"]) for r in S.sentence_units(docs, corpus=corpus).where("doc_id < 2").collect()]
+    assert sorted(got) == [(0, 0, 20), (0, 21, 40), (1, 0, 33)]
+
+
+@pytest.mark.parametrize("top", [X.TOP, 1])
+def test_a_long_abbreviation_is_learnt_from_the_corpus(spark, top):
+    texts = [f"The klmnoprst. Vander ran to town {k}. It was late.\n\nA long day ends here.\n\nAll went home." for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    corpus = X.corpus_of(docs, top=top, sure=1e-2)
+    units = [(r["seg_start"], r["seg_end"]) for r in S.sentence_units(docs, corpus=corpus).where("doc_id = 7").collect()]
+    assert [texts[7][a:z] for a, z in sorted(units)] == ["The klmnoprst. Vander ran to town 7.", "It was late.", "A long day ends here.", "All went home."]
+
+
+def test_a_long_abbreviation_that_may_end_a_sentence(spark):
+    docs = spark.createDataFrame([(k, "Pots, pans, andsofort. in town.\n\nPots andsofort.\n\nAll went home.") for k in range(60)], "doc_id int, text string")
+    assert X.corpus_of(docs).lexicon.kind("andsofort") == X.LAST
+
+
+def test_a_long_abbreviation_is_learnt_inside_one_document():
+    def cut(text):
+        return [text[a:z] for a, z, _, _ in S.units(text)]
+
+    assert cut("He saw abbrevtd. and klm. The abbrevtd. Vander ran.") == ["He saw abbrevtd. and klm.", "The abbrevtd. Vander ran."]
+    assert cut("He saw machinery. The machinery. Vander ran.") == ["He saw machinery.", "The machinery.", "Vander ran."]
