@@ -277,10 +277,12 @@ def consulted(rows: DataFrame, corpus: Corpus, work: Work, schema: T.StructType)
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = shared.value
         for batch in batches:
-            answers = batch.column(1).to_pylist()
-            told = [lexicon.told({a["word"]: a["kind"] for a in x or ()}) for x in answers]
-            again = batch.column(0)
-            yield work(pa.RecordBatch.from_arrays(again.flatten(), names=[f.name for f in again.type]), told.__getitem__, lambda *_: True)
+            again, answers = batch.columns
+
+            def told(i: int, answers: pa.Array = answers) -> Lexicon:
+                return lexicon.told({a["word"]: a["kind"] for a in answers[i].as_py() or ()})
+
+            yield work(pa.RecordBatch.from_arrays(again.flatten(), names=[f.name for f in again.type]), told, lambda *_: True)
 
     got = stored(rows.mapInArrow(first, both), "consulted")
     sure = got.where("id is null").select("out.*")
